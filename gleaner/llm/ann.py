@@ -109,11 +109,12 @@ def _blocks(size: int):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product for each query; both sides have vec_id, embedding."""
     packed = "dim int, ids binary, blob binary"
-    rows = vectors.count()
-    n = max(1, -(-rows // block))
-    # Rows are dealt into n parts by id, and a part is one candidate block or a few; the query blocks go to each part.
-    cand = usable(vectors).repartition(n, "vec_id").mapInArrow(_blocks(block), packed).select(F.spark_partition_id().alias("part"), F.lit(False).alias("is_query"), "*")
-    quer = usable(queries).mapInArrow(_blocks(1024), packed).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(True).alias("is_query"), "*")
+    n = max(1, -(-vectors.count() // block))
+    g = max(1, -(-queries.count() // block))
+    # A tile's key: the part of the candidates (dealt by id, a block or two) and the group of query blocks.
+    groups, parts = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (g, n))
+    cand = usable(vectors).repartition(n, "vec_id").mapInArrow(_blocks(block), packed).select(F.spark_partition_id().alias("part"), groups.alias("grp"), "*")
+    quer = usable(queries).mapInArrow(_blocks(1024), packed).select(F.pmod(F.xxhash64("ids"), F.lit(g)).cast("int").alias("grp"), parts.alias("part"), "*")
 
     def join(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -124,7 +125,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
                 out.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), tile(qid, q, cid, c, k), strict=True))))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    tiles = cand.groupBy("part").cogroup(quer.groupBy("part")).applyInPandas(join, SCHEMA)
+    tiles = cand.groupBy("part", "grp").cogroup(quer.groupBy("part", "grp")).applyInPandas(join, SCHEMA)
     # One row per tile and query, so that the merge gets heaps, not pairs.
     heaps = tiles.groupBy("query_id", F.spark_partition_id().alias("tile")).agg(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id")).alias("heap"))
 
