@@ -41,10 +41,24 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = np.uint64((1 << 60) - 1)
+#: The narrowest width for each id of 16 bits.
+_NEED = np.unique(WIDTH)[np.searchsorted((1 << np.unique(WIDTH)) - 1, np.arange(1 << 16))].astype(np.uint8)
 _HEAD = struct.Struct("<4sIQQQQQ")
 _NULL = np.iinfo(np.int64).min
 
 
+def _words(padded: np.ndarray, need: np.ndarray, pos: np.ndarray, stop: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fullest words that begin at pos, of the selectors from ``least`` on; what lies beyond stop counts as zero."""
+    ahead = np.arange(COUNT[least])
+    near = np.minimum(pos[:, None] + ahead, len(padded) - 1)
+    inside = near < stop[:, None]
+    widest = np.maximum.accumulate(np.where(inside, need[near], 0), axis=1)
+    select = least + np.argmax(widest[:, COUNT[least:] - 1] <= WIDTH[least:], axis=1)
+    values = np.where(inside & (ahead < COUNT[select][:, None]), padded[near], np.uint64(0))
+    shift = np.minimum(ahead * WIDTH[select][:, None], 63).astype(np.uint64)
+    return select, np.bitwise_or.reduce(values << shift, axis=1) | select.astype(np.uint64) << np.uint64(60)
+
+
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, first word of each block, escaped values. All blocks are filled in step, one word of each at a time."""
     ids = ids.astype(np.uint64)
@@ -52,29 +66,21 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     padded = np.zeros(blocks * BLOCK + BLOCK, np.uint64)
     padded[:n] = np.where(escaped, ESCAPE, ids)
-    bits = np.zeros(len(padded), np.uint8)
-    for w in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):  # the width that an id needs, 60 at most
-        bits += padded > np.uint64((1 << w) - 1)
-    need = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.uint8)[bits]
+    need = _NEED[np.minimum(padded, np.uint64(0xFFFF)).astype(np.intp)]
+    wide = np.flatnonzero(padded > np.uint64(0xFFFF))
+    if len(wide):
+        need[wide] = np.where(padded[wide] < np.uint64(1 << 20), 20, np.where(padded[wide] < np.uint64(1 << 30), 30, 60))
     at = np.arange(blocks) * BLOCK
     end = np.minimum(at + BLOCK, n)
     live, made, owner = np.arange(blocks), [], []
-    ahead = np.arange(15)
     while len(live):
         pos, stop = at[live], end[live]
-        near = pos[:, None] + ahead
-        inside = near < stop[:, None]
-        widest = np.maximum.accumulate(np.where(inside, need[near], 0), axis=1)
-        # Words of 15 ids and fewer at once; the wider runs only where 15 ids are narrow.
-        select = 5 + np.argmax(widest[:, COUNT[5:] - 1] <= WIDTH[5:], axis=1)
-        values = np.where(inside & (ahead < COUNT[select][:, None]), padded[near], np.uint64(0))
-        word = np.bitwise_or.reduce(values << (ahead * WIDTH[select][:, None]).astype(np.uint64) % np.uint64(64), axis=1)
-        for i in np.flatnonzero((select == 5) & (widest[:, 14] <= 3) & (stop - pos > 15)):
-            run = padded[pos[i] : stop[i]]
-            s = next(s for s in range(6) if int(need[pos[i] : min(pos[i] + COUNT[s], stop[i])].max()) <= WIDTH[s])
-            select[i] = s
-            word[i] = sum(int(x) << (k * int(WIDTH[s])) for k, x in enumerate(run[: COUNT[s]].tolist()))
-        made.append(word | select.astype(np.uint64) << np.uint64(60))
+        # Most words hold few ids; longer looks ahead only where these are narrow.
+        select, word = _words(padded, need, pos, stop, 9)
+        for least in (5, 0):
+            if len(rows := np.flatnonzero(select == (9 if least else 5))):
+                select[rows], word[rows] = _words(padded, need, pos[rows], stop[rows], least)
+        made.append(word)
         owner.append(live)
         at[live] = pos + COUNT[select]
         live = live[at[live] < end[live]]

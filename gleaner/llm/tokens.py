@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 
 #: Chunks kept by a worker; beyond that it keeps those that came up again, which bounds its memory.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 1_200_000
 #: White space as the vocabularies' patterns know it, without the space itself.
 _WHITE = "\\t\\n\\x0b\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
 _MEETS = f"[ {_WHITE}][ {_WHITE}]|^[ {_WHITE}]|[ {_WHITE}]$"
@@ -134,8 +134,10 @@ class Encoder:
             first = first[:-1]
             place = np.empty(len(codes), np.int64)
             for own, lead in ((first, ""), (~first, " ")):
-                distinct, back = np.unique(codes[own], return_inverse=True)
-                place[own] = self._places([lead + words[c] for c in distinct])[back]
+                there, of = np.zeros(len(words), bool), np.empty(len(words), np.int64)
+                there[codes[own]] = True
+                of[there] = self._places([lead + words[c] for c in np.flatnonzero(there)])
+                place[own] = of[codes[own]]
         else:
             place = self._places(words)[codes]
         size, start = self.size[place].astype(np.int64), self.start[place]
