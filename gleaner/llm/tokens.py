@@ -124,7 +124,7 @@ class Encoder:
         at = split.offsets.to_numpy().astype(np.int64)
         at, values = at - at[0], split.flatten()
         coded = values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.spaced:
             first = np.zeros(len(codes) + 1, bool)  # chunks without a space before them
             first[at[:-1][np.diff(at) > 0]] = True
