@@ -63,3 +63,28 @@ def lower_ascii(column):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key with more rows than this, or than this share of all rows, is joined by broadcasting its few counterparts.
+HOT_ROWS, HOT_SHARE = 20_000, 50_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right on key, where a key may hold any share of left's rows and at most one row of right's.
+
+    Hot keys are counted first. There are at most HOT_SHARE of them whatever the input, which bounds the broadcast;
+    their rows never move. All other keys take the ordinary shuffle join. left is read twice.
+    """
+    rows = left.count()
+    most = max(HOT_ROWS, rows // HOT_SHARE)
+    if rows <= most:
+        return left.join(right, key, how)
+    hot = left.groupBy(key).count().where(F.col("count") > most).select(key)
+    keys = [r[0] for r in hot.where(F.col(key).isNotNull()).collect()]
+    if not keys:
+        return left.join(right, key, how)
+    kind = left.schema[key].dataType.simpleString()
+    chosen = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` {kind}"))
+    few = F.broadcast(right.join(chosen, key, "left_semi"))
+    out = left.join(chosen, key, "left_semi").join(few, key, how)
+    return out.unionByName(left.join(chosen, key, "left_anti").join(right, key, how))

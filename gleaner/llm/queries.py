@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, packing, quality, tokenbin, urls
+from . import ann, exact, minhash, packing, quality, tokenbin, urls
 from .common import read
 
 #: Fixed values of the query op1: (host, path, verdict).
@@ -21,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_best_fit_packing, op6_token_binary, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_minhash_near_dedup, op5_best_fit_packing, op6_token_binary, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
