@@ -1,14 +1,16 @@
 """Near-duplicate detection by HyperMinHash registers.
 
 A document's set are its distinct shingles of five words. Each shingle falls into one of REGISTERS buckets; a bucket
-keeps the smallest hash in it as 16 bits: how many leading zeros it has (6 bits) and the bits behind them (10 bits).
-Four registers make a band. Documents that share a band are candidates; a band of four empty registers is none.
+keeps the smallest hash in it as 16 bits: how many leading zeros it has (6 bits, stored so that smaller hashes have
+smaller registers) and the bits behind them (10 bits). Eight neighbouring registers merge into one of 96 wider ones
+by their minimum, and four of those make a band; the estimates use all registers. Documents that share a band are candidates; a band of four empty registers is none.
 With 24 bands, a pair of similarity 0.85 shares no band in 2 of 10^8 cases.
 
 1. Documents with the same set are one class: classes, not copies, go on, each under its smallest doc_id.
-2. In every bucket of a band, each class is paired with one head (another one in each bucket, chosen by a hash).
-   Their registers give an estimate of the similarity, corrected for equal registers of different hashes; what is
-   more than six standard deviations below the threshold is dropped, the rest is verified on the full sets.
+2. In every bucket of a band, each class is paired with one head: the class whose buckets are fullest, which in a
+   family of near copies is the one in the middle. Their registers give an estimate of the similarity, corrected for
+   equal registers of different hashes; what is more than five standard deviations below the threshold is dropped,
+   the rest is verified on the full sets.
 3. Components of the links found so far. A bucket whose classes all lie in one component is settled: a further link
    there would change nothing. In any other bucket all pairs of classes of different components are estimated and
    verified, in chunks of at most about 256 by 256 classes, so no link between components is lost.
@@ -36,7 +38,8 @@ from .common import join_skewed, materialise
 
 WORDS = 5
 BANDS, ROWS = 24, 4
-REGISTERS = BANDS * ROWS
+FINE = 8
+REGISTERS = BANDS * ROWS * FINE
 MANTISSA = 10
 EMPTY = 0xFFFF
 PERCENT = 85
@@ -74,7 +77,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     length = np.frexp(least.astype(np.float64))[1]
     zeros = np.minimum(53 - length, 62)
     mantissa = (least << np.maximum(zeros, 0).astype(np.uint64) >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)
-    out = zeros.astype(np.uint16) << np.uint16(MANTISSA) | mantissa.astype(np.uint16)
+    out = (62 - zeros).astype(np.uint16) << np.uint16(MANTISSA) | mantissa.astype(np.uint16)
     return np.where(least == 1 << 53, np.uint16(EMPTY), out).reshape(-1, REGISTERS)
 
 
@@ -89,26 +92,30 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     j, m = estimate(a, b)
     t = percent / 100
-    return (j >= t - 6 * np.sqrt(t * (1 - t) / m)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    union = (na + nb) / (1 + t)  # of two sets at the threshold; m of its members were drawn, without replacement
+    left = np.clip((union - m) / np.maximum(union - 1, 1), 0, 1)
+    return (j >= t - 5 * np.sqrt(t * (1 - t) / m * left) - 2 / m) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A row of BANDS 64-bit keys for each row of registers; all ones where a band is empty throughout."""
+    wide = np.ascontiguousarray(regs.reshape(-1, BANDS * ROWS, FINE).min(axis=2)).view(np.uint64)
+    band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.where(wide == np.uint64(2**64 - 1), wide, arrays.mix(arrays.mix(wide.copy()) + band))
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (128-bit digest of the set; null if empty), regs."""
+    """doc_id, n (set size), cls (128-bit digest of the set), keys of the bands, regs; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             regs = registers(sets)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "cls": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    "regs": pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary()),
-                }
-            )
+            blobs = lambda rows: pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, sets, strict=True)], pa.binary())  # noqa: B023, E731
+            cls = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), cls, blobs(band_keys(regs)), blobs(regs)], names=["doc_id", "n", "cls", "keys", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cls binary, keys binary, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,18 +123,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """key, id: a row for each band of each class that isn't empty throughout."""
+    """key, id: a row for each band of each class (id, keys) that isn't empty throughout."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = np.ascontiguousarray(_matrix(part.column("regs"))).view(np.uint64)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.uint64).reshape(-1, BANDS)
                 row, band = np.nonzero(keys != np.uint64(2**64 - 1))
-                key = arrays.mix(arrays.mix(keys[row, band]) + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(pa.array(row))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), part.column("id").take(pa.array(row))], names=["key", "id"])
 
-    return classes.select("id", "regs").mapInArrow(run, "key long, id long")
+    return classes.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -227,15 +233,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = materialise(sketch(docs))
-    with_set = sketches.where("cls is not null")
-    classes = materialise(with_set.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")).where("id is not null"))
-    rows = bands(classes)
-    heads = materialise(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("b"))).alias("head"), F.count("*").alias("size")).where("size > 1").select("key", "head.b"))
-    shared = materialise(join_skewed(rows, heads, "key").select("key", "id", "b"))
-    pairs = materialise(likely(shared.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), classes))
+    classes = materialise(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    rows = bands(sketches.select(F.col("doc_id").alias("id"), "cls", "keys").join(classes, ["cls", "id"]).dropDuplicates(["id"]))
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = materialise(join_skewed(rows, sizes, "key"))
+    middle = shared.groupBy("id").agg(F.sum("size").alias("c"))
+    shared = materialise(shared.select("key", "id").join(middle, "id"))
+    heads = materialise(shared.groupBy("key").agg(F.max(F.struct("c", F.xxhash64("id").alias("h"), F.col("id").alias("b"))).alias("head")).select("key", "head.b"))
+    stars = join_skewed(shared, heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    ids = shared.select("id").distinct()
+    known = materialise(sketches.select(F.col("doc_id").alias("id"), "n", "regs").where("regs is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    pairs = materialise(likely(stars, known))
     links = materialise(verified(pairs, docs))
     labels = components(links)
-    more = materialise(unsettled(shared.select("key", "id"), labels, classes).join(pairs, ["a", "b"], "left_anti"))
+    more = materialise(unsettled(shared.select("key", "id"), labels, known).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(verified(more, docs))
         labels = components(links, seed=100)
