@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, minhash, packing, quality, tokenbin, urls
+from . import ann, exact, minhash, packing, quality, repeats, tokenbin, urls
 from .common import read
 
 #: Fixed values of the query op1: (host, path, verdict).
@@ -25,6 +25,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), repeats.WORDS.length, repeats.WORDS.gram)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,6 +37,10 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_ids(tokenbin.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.suffix_array_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), repeats.BYTES.length, repeats.BYTES.gram)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -46,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_minhash_near_dedup, op5_best_fit_packing, op6_token_binary, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_token_binary, op7_suffix_array_dedup, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
