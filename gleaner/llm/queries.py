@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, minhash, packing, quality, repeats, tokenbin, urls
+from . import ann, exact, minhash, packing, quality, repeats, segmentation, tokenbin, urls
 from .common import read
 
 #: Fixed values of the query op1: (host, path, verdict).
@@ -21,6 +21,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every turn of the conversations."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return segmentation.sample_segmentations(rows, ["conv_id", "turn"], k=2).drop("ids")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_token_binary, op7_suffix_array_dedup, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece_sampling, op3_minhash_near_dedup, op4_substring_dedup, op5_best_fit_packing, op6_token_binary, op7_suffix_array_dedup, op8_nearest, op9_quality_classifier, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op1_url_filter": r"""
