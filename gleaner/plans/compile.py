@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,18 +38,25 @@ def java_pattern(pattern: str, case_sensitive: bool) -> str | None:
     return f"(?dU{flags})" + body
 
 
-def _struct(matched: Column, text: Column, count: Column, target: Column, texts: Column) -> Column:
-    return F.struct(matched.alias("matched"), text.alias("match_text"), count.cast("int").alias("match_count"), target.alias("target"), texts.alias("match_texts"))
+class Parts(NamedTuple):
+    """A match's fields as expressions of their own: as fields of nested structs, trees of rules would grow exponentially."""
 
+    matched: Column
+    match_text: Column
+    match_count: Column
+    target: Column
+    match_texts: Column
 
-def _leaf(leaf: Leaf) -> Column:
+
+def _leaf(leaf: Leaf) -> Parts:
     t = F.coalesce(F.col(_COLUMNS[leaf.target]), F.lit(""))
     empty = F.array().cast("array<string>")
     if leaf.mode in ("regex", "contains"):
         if leaf.mode == "regex":
             expression = java_pattern(leaf.pattern, leaf.case_sensitive)
             if expression is None:
-                return python_match(leaf)
+                m = python_match(leaf)
+                return Parts(*[m[f] for f in Parts._fields])
             count, text = F.regexp_count(t, F.lit(expression)), F.coalesce(F.regexp_substr(t, F.lit(expression)), F.lit(""))
         else:
             expression = ("" if leaf.case_sensitive else "(?iu)") + "\\Q" + leaf.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -59,7 +67,7 @@ def _leaf(leaf: Leaf) -> Column:
         own = t if leaf.case_sensitive else F.lower(t)
         hit = {"equals": own == p, "startswith": F.startswith(own, p), "endswith": F.endswith(own, p)}[leaf.mode]
         count, text = F.lit(1), p
-    return _struct(hit, F.when(hit, text).otherwise(""), F.when(hit, count).otherwise(0), F.when(hit, F.lit(leaf.target)).otherwise(""), F.when(hit & (text != ""), F.array(text)).otherwise(empty))
+    return Parts(hit, F.when(hit, text).otherwise(""), F.when(hit, count).otherwise(0), F.when(hit, F.lit(leaf.target)).otherwise(""), F.when(hit & (text != ""), F.array(text)).otherwise(empty))
 
 
 def python_match(spec: Spec) -> Column:
@@ -76,29 +84,34 @@ def python_match(spec: Spec) -> Column:
     return run(F.col("name"), F.col("path"), content)
 
 
-def column(spec: Spec) -> Column:
-    """A struct (matched, match_text, match_count, target, match_texts) for each row of (name, path, content)."""
+def parts(spec: Spec) -> Parts:
     if isinstance(spec, Leaf):
         return _leaf(spec)
     empty = F.array().cast("array<string>")
     if isinstance(spec, Not):
-        hit = ~column(spec.child)["matched"]
-        return _struct(hit, F.lit(""), F.when(hit, 1).otherwise(0), F.lit(""), empty)
-    parts = [column(c) for c in spec.children]
+        hit = ~parts(spec.child).matched
+        return Parts(hit, F.lit(""), F.when(hit, 1).otherwise(0), F.lit(""), empty)
+    own = [parts(c) for c in spec.children]
     hit = F.lit(isinstance(spec, And))
-    for p in parts:
-        hit = hit & p["matched"] if isinstance(spec, And) else hit | p["matched"]
-    count = sum((p["match_count"] for p in parts), F.lit(0))
-    texts = F.array_distinct(F.flatten(F.array(*[p["match_texts"] for p in parts]))) if parts else empty
-    target = F.lit("") if isinstance(spec, And) else F.coalesce(*[F.when(p["matched"], p["target"]) for p in parts], F.lit(""))
-    return _struct(hit, F.when(hit, F.coalesce(F.get(texts, F.lit(0)), F.lit(""))).otherwise(""), F.when(hit, count).otherwise(0), F.when(hit, target).otherwise(""), F.when(hit, texts).otherwise(empty))
+    for p in own:
+        hit = hit & p.matched if isinstance(spec, And) else hit | p.matched
+    count = sum((p.match_count for p in own), F.lit(0))
+    texts = F.array_distinct(F.flatten(F.array(*[p.match_texts for p in own]))) if own else empty
+    target = F.lit("") if isinstance(spec, And) else F.coalesce(*[F.when(p.matched, p.target) for p in own], F.lit(""))
+    return Parts(hit, F.when(hit, F.coalesce(F.get(texts, F.lit(0)), F.lit(""))).otherwise(""), F.when(hit, count).otherwise(0), F.when(hit, target).otherwise(""), F.when(hit, texts).otherwise(empty))
+
+
+def column(spec: Spec) -> Column:
+    """A struct (matched, match_text, match_count, target, match_texts) for each row of (name, path, content)."""
+    p = parts(spec)
+    return F.struct(*[(c.cast("int") if f == "match_count" else c).alias(f) for f, c in zip(Parts._fields, p, strict=True)])
 
 
 def hit(rule: Rule, order: int) -> Column:
     """The rule's hit, or null. Cheap extension guards come first, so that expressions run only where they can match."""
-    m = column(rule.match)
-    made = F.struct(F.lit(order).alias("rule_ord"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), m["match_text"].alias("match_text"), m["match_count"].alias("match_count"), m["target"].alias("target"), m["match_texts"].alias("match_texts"), F.lit(next((x.description for x in leaves(rule.match) if x.description), rule.description)).alias("match_description"))
-    out = F.when(m["matched"], made)
+    m = parts(rule.match)
+    made = F.struct(F.lit(order).alias("rule_ord"), F.lit(rule.name).alias("rule_name"), F.lit(rule.severity).alias("severity"), m.match_text.alias("match_text"), m.match_count.cast("int").alias("match_count"), m.target.alias("target"), m.match_texts.alias("match_texts"), F.lit(next((x.description for x in leaves(rule.match) if x.description), rule.description)).alias("match_description"))
+    out = F.when(m.matched, made)
     only = required_extensions(rule.match)
     return out if only is None else F.when(F.lower(F.col("extension")).isin(sorted(only)), out)
 

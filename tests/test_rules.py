@@ -11,7 +11,7 @@ WORDS = ["a", "the", "mit", "A.b", "=", "ä", "(a)", "x", "12"]
 
 
 def spec(r: random.Random, depth: int = 0) -> M.Spec:
-    kind = r.randrange(6 if depth < 3 else 3)
+    kind = r.randrange(6 if depth < 2 else 3)
     if kind < 3:
         mode = r.choice(M.MODES)
         pattern = r.choice(WORDS) if mode != "regex" else r.choice([r"a+", r"(?i)mit\s+license", r"\bthe\b", r"[0-9]+", "x|y", r"\d+", "(a|b)*c"])
@@ -23,7 +23,7 @@ def spec(r: random.Random, depth: int = 0) -> M.Spec:
 
 def test_columns_mean_what_python_means(spark):
     r = random.Random(5)
-    specs = [spec(r) for _ in range(60)]
+    specs = [spec(r) for _ in range(40)]
     rows = [(f"f{i}.txt", f"dir/f{i}.txt", "txt", t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "name string, path string, extension string, content string")
     got = df.select("path", *[column(s).alias(f"m{i}") for i, s in enumerate(specs)]).collect()
