@@ -101,7 +101,7 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
     t = percent / 100
     union = (na + nb) / (1 + t)  # of two sets at the threshold; m of its members were drawn, without replacement
     left = np.clip((union - m) / np.maximum(union - 1, 1), 0, 1)
-    return (j >= t - 5 * np.sqrt(t * (1 - t) / m * left) - 2 / m - 0.01) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    return (j >= t - 5 * np.sqrt(t * (1 - t) / m * left + CHANCE / m)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -157,10 +157,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return join_skewed(pairs.join(own, "a"), heads, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, on their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialise(docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text")))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, on their full sets. texts: id, text."""
     own = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     heads = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
@@ -253,12 +251,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     stars = join_skewed(shared, heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     ids = shared.select("id").distinct()
     known = materialise(sketches.select(F.col("doc_id").alias("id"), "n", "regs").where("regs is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = materialise(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     pairs = materialise(likely(stars, known))
-    links = materialise(verified(pairs, docs))
+    links = materialise(verified(pairs, texts))
     labels = components(links)
     more = materialise(unsettled(shared.select("key", "id"), labels, known).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.unionByName(verified(more, docs))
+        links = links.unionByName(verified(more, texts))
         labels = components(links, seed=100)
     names = labels.groupBy("root").agg(F.min("node").alias("component"))
     found = materialise(join_skewed(labels, names, "root").select(F.col("node").alias("id"), "component"))

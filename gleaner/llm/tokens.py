@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 
 #: Chunks kept by a worker; beyond that it keeps those that came up again, which bounds its memory.
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 350_000
 #: White space as the vocabularies' patterns know it, without the space itself.
 _WHITE = "\\t\\n\\x0b\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
 _MEETS = f"[ {_WHITE}][ {_WHITE}]|^[ {_WHITE}]|[ {_WHITE}]$"
