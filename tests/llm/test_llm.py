@@ -228,6 +228,26 @@ def test_sampled_segmentations(spark):
     assert rows == S.sample_segmentations(df, ["k"], 2).collect()
 
 
+def test_segmentations_do_not_depend_on_the_batch():
+    from gleaner.llm import segmentation as S
+
+    seg = S.segmenter(S.MODEL)
+    texts = ["", "a", "the cat sat", " ", "\n\t", "é😀 x  y", "z" * 3000] + [f"word{i} in the house" for i in range(20)]
+    surfaces, seeds = [seg.surface(t) for t in texts], np.arange(len(texts), dtype=np.uint64) * np.uint64(99991)
+
+    def found(surfaces, seeds):
+        words = S.Lattices(surfaces, seg)
+        row, number, _, size, edges, _ = words.sample(seeds, 3)
+        ids, at = words.ids(edges, size)
+        return {(r, n): ids[a:b].tolist() for r, n, a, b in zip(row.tolist(), number.tolist(), at[:-1], at[1:], strict=True)}
+
+    together = found(surfaces, seeds)
+    for i, text in enumerate(texts):
+        alone = found(surfaces[i : i + 1], seeds[i : i + 1])
+        assert [together[i, n] for _, n in sorted(alone)] == [x for _, x in sorted(alone.items())]
+        assert len({tuple(x) for x in alone.values()}) == len(alone) and all(seg.decode(x) == text for x in alone.values())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
