@@ -69,17 +69,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 20_000, 50_000
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """left join right on key, where a key may hold any share of left's rows and at most one row of right's.
 
-    Hot keys are counted first. There are at most HOT_SHARE of them whatever the input, which bounds the broadcast;
-    their rows never move. All other keys take the ordinary shuffle join. left is read twice.
+    Hot keys are counted first, in counted: a table with the same keys as left that is cheaper to read. There are at
+    most HOT_SHARE of them whatever the input, which bounds the broadcast; their rows never move. All other keys take
+    the ordinary shuffle join. left is read twice.
     """
-    rows = left.count()
+    counted = left if counted is None else counted
+    rows = counted.count()
     most = max(HOT_ROWS, rows // HOT_SHARE)
     if rows <= most:
         return left.join(right, key, how)
-    hot = left.groupBy(key).count().where(F.col("count") > most).select(key)
+    hot = counted.groupBy(key).count().where(F.col("count") > most).select(key)
     keys = [r[0] for r in hot.where(F.col(key).isNotNull()).collect()]
     if not keys:
         return left.join(right, key, how)

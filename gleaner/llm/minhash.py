@@ -154,7 +154,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 fine = plausible(_matrix(batch.column("ra")), _matrix(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return join_skewed(pairs.join(own, "a"), heads, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 fine.append(100 * both >= PERCENT * (len(a) + len(sb) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return join_skewed(pairs.join(own, "a"), heads, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, seed: int = 1) -> DataFrame:
@@ -248,7 +248,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     middle = shared.groupBy("id").agg(F.sum("size").alias("c"))
     shared = materialise(shared.select("key", "id").join(middle, "id"))
     heads = materialise(shared.groupBy("key").agg(F.max(F.struct("c", F.xxhash64("id").alias("h"), F.col("id").alias("b"))).alias("head")).select("key", "head.b"))
-    stars = join_skewed(shared, heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    stars = materialise(join_skewed(shared, heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
     ids = shared.select("id").distinct()
     known = materialise(sketches.select(F.col("doc_id").alias("id"), "n", "regs").where("regs is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     texts = materialise(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]))
