@@ -95,7 +95,8 @@ class Flat:
         self.content = arrays.ranged(self.sums, self.start, self.last + length)
 
     def periodic(self) -> np.ndarray:
-        """Segments that may hold a window twice: those with a window in which the anchor occurs at two places."""
+        """Segments that may hold a window twice: those with a window in which the anchor occurs at two places, and those
+        longer than a window's grams: there the anchor may lie once in each window, at a distance of just as many symbols."""
         n, gram = len(self.values), self.unit.gram
         if not len(self.start):
             return np.zeros(0, bool)
@@ -105,7 +106,7 @@ class Flat:
         left, right = (arrays.sliding_min(high | x, self.unit.length - gram + 1) & low for x in (at, low - at))
         sums = np.zeros(len(left) + 1, np.int64)
         np.cumsum(left != low - right, out=sums[1:])
-        return sums[self.last + 1] > sums[self.start]
+        return (sums[self.last + 1] > sums[self.start]) | (self.last - self.start > self.unit.length - gram)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order of the segments by (anchor, content), where each distinct pair begins in it, and its number for each segment."""

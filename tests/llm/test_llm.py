@@ -118,6 +118,23 @@ def test_repeats(docs, none):
     assert substring_dedup(none).count() == suffix_array_dedup(none).count() == 0
 
 
+def _line(size, seed):
+    return "".join(np.random.default_rng(seed).choice(list("abcdefghij"), size))
+
+
+def test_repeats_within_one_text_at_every_period(spark):
+    from gleaner.llm.repeats import BYTES, WORDS, substring_dedup, suffix_array_dedup, without_repeats
+
+    texts = [" ".join([" ".join(f"p{p}x{i}" for i in range(p))] * 5) for p in range(20, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup(df, WORDS.length, WORDS.gram).collect()}
+    assert got == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert {r["text"] for r in without_repeats(df).collect()} == {""}
+    raw = [_line(p - 1, p) + "\n" for p in range(BYTES.length - BYTES.gram - 3, BYTES.length - BYTES.gram + 6)]
+    df = spark.createDataFrame([(i, x * 4 + "#" + _line(300, 999 + i)) for i, x in enumerate(raw)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_array_dedup(df, BYTES.length, BYTES.gram).collect()} == {i: 4 * len(x) for i, x in enumerate(raw)}
+
+
 def test_tokens_are_the_librarys():
     from gleaner.llm import tokens
     from tokenizers import Tokenizer
