@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import exact, minhash, packing, quality, repeats
 from gleaner.llm.common import materialise, read
 
+OWN_ID = "own id"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of all folds but the held-out one."""
@@ -15,20 +17,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, network, keep=docs.columns).where("predicted = 1").select(*docs.columns)
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose verdict says kept. Rows without a doc_id have none, and stay."""
-    dropped = verdicts.where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased), the row with the largest doc_id."""
-    return _kept(docs, exact.exact_dedup(docs))
+    """Of equal texts (A-Z lower-cased), one row, that with the largest doc_id; rows without one come last."""
+    return exact.keep_one(docs)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs and an id of its own for each (doc_id, text): the doc_id; beyond the largest one where that is null or taken."""
+    odd = materialise(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("odd id")))
+    if not odd.limit(1).count():
+        return docs.withColumn(OWN_ID, F.col("doc_id"))
+    digest = docs.select("*", F.sha2(exact.normalised("text"), 256).alias("own digest"))
+    texts = digest.join(odd, F.col("doc_id").eqNullSafe(F.col("odd id")), "left_semi").select(F.col("doc_id").alias("odd id"), F.col("own digest").alias("odd digest")).distinct()
+    texts = materialise(texts)
+    first = texts.where("`odd id` IS NOT NULL").groupBy("odd id").agg(F.min("odd digest").alias("odd digest"))
+    others = texts.join(first, ["odd id", "odd digest"], "left_anti").orderBy(F.col("odd id").asc_nulls_last(), "odd digest")
+    most = docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+    ids = materialise(others.withColumn(OWN_ID, F.monotonically_increasing_id() + F.lit(most + 1)))
+    same = F.col("doc_id").eqNullSafe(F.col("odd id")) & (F.col("own digest") == F.col("odd digest"))
+    return materialise(digest.join(ids, same, "left").select(*docs.columns, F.coalesce(OWN_ID, "doc_id").alias(OWN_ID)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates, the document that gives its component the name."""
-    return _kept(docs, minhash.near_dedup(docs))
+    """Of near duplicates, the document that gives its component the name. Texts are judged each, whatever ids they share."""
+    rows = _numbered(docs)
+    verdicts = minhash.near_dedup(rows.select(F.col(OWN_ID).alias("doc_id"), "text"))
+    dropped = verdicts.where("NOT kept").select(F.col("doc_id").alias(OWN_ID)).distinct()
+    return rows.join(dropped, OWN_ID, "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from .common import lower_ascii, materialise
 #: A third of the rows in one group must leave each salt's share small: one salt more for so many documents.
 DOCUMENTS_PER_SALT = 200_000
 LEAST_SALTS = 32
+#: The columns that carry verdicts to rows; no input has columns of such names.
+ROW_ID, DIGEST = "verdict on id", "verdict on digest"
 
 
 def salts_for(rows: int) -> int:
@@ -71,3 +73,23 @@ def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with all its columns, one row for each normalised text: that of the largest doc_id.
+
+    Verdicts hold for (doc_id, digest), so neither rows without an id nor several texts of one id are mixed up. Rows
+    that still have a text in common have the same id or all none; the largest by all columns stays.
+    """
+    columns = docs.columns
+    judged = exact_dedup(docs).where("group_size > 1")
+    verdicts = materialise(judged.select(F.col("doc_id").alias(ROW_ID), F.col("text_sha256").alias(DIGEST), "kept"))
+    gone = verdicts.where("NOT kept").select(ROW_ID, DIGEST).distinct()
+    own = docs.select("*", F.sha2(normalised("text"), 256).alias("own digest"))
+    same = F.col("doc_id").cast(T.LongType()).eqNullSafe(F.col(ROW_ID)) & (F.col("own digest") == F.col(DIGEST))
+    rest = own.join(gone, same, "left_anti")
+    if not verdicts.where("kept").groupBy(DIGEST).count().where("count > 1").limit(1).count():
+        return rest.select(*columns)
+    check = F.xxhash64(normalised("text"), F.length(normalised("text")))  # as above, for texts with the same digest
+    one = rest.groupBy("own digest", check).agg(F.max(F.struct(*columns)).alias("row"))
+    return one.select("row.*")

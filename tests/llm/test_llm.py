@@ -280,6 +280,28 @@ def test_pipeline(spark, tmp_path):
     assert {0, 7, 14} & ids in ({7}, {14}) and ids <= set(frames)
 
 
+def test_pipeline_drops_copies_by_row(spark):
+    import corpus_pipeline as C
+
+    text = [" ".join(f"t{i}x{j}" for j in range(100)) for i in range(9)]
+    near = lambda i: text[i].replace(f"t{i}x50", "zz")
+    rows = [(1, text[0]), (None, text[0].upper())]  # a copy without an id
+    rows += [(2, text[1])] * 3 + [(None, text[2])] * 2  # rows that repeat
+    rows += [(3, text[3]), (3, text[4]), (4, text[3])]  # one id, two texts, one of them a copy
+    rows += [(5, text[5]), (None, near(5)), (None, text[6]), (None, near(6))]  # near copies without an id
+    rows += [(6, text[7]), (7, text[8]), (7, near(7))]  # one id, two texts, one of them a near copy
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = C.exact_stage(spark, df, "")
+    low_ = lambda df: sorted((r["doc_id"] or -1, low(r["text"])) for r in df.collect())
+    assert low_(out) == sorted({(i or -1, t) for i, t in rows if t != text[0].upper()} - {(3, text[3])})
+    out = C.near_stage(spark, out, "")
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(kept) == 9 and {(5, text[5]), (6, text[7]), (7, text[8]), (3, text[4]), (4, text[3])} <= set(kept)
+    assert sorted(map(repr, kept)) == sorted(repr((r["doc_id"], r["text"])) for r in C.substring_stage(spark, out, "").collect())
+    for stage in (C.exact_stage, C.near_stage):
+        assert stage(spark, df.limit(0), "").columns == df.columns and stage(spark, df.limit(0), "").count() == 0
+
+
 def test_queries_against_sql(spark):
     import duckdb
     from gleaner.llm.queries import ORACLE_SQL, QUERIES
