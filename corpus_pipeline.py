@@ -54,7 +54,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    return packing.best_fit_pack(docs.select("doc_id", "text"))
+    return packing.best_fit_pack(docs.select("doc_id", "text"), added=True)
 
 
 STAGES = [

@@ -31,12 +31,12 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 SALTS = 64
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
+def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            ids, at = encoder(vocabulary).encode(batch.column("text"), end)
+            ids, at = encoder(vocabulary, added).encode(batch.column("text"), end)
             size = np.diff(at)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), n)
@@ -183,7 +183,7 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataF
     return ranked.mapInArrow(place, schema)
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(cut(docs, capacity)), capacity)
+    return pack(materialise(cut(docs, capacity, added=added)), capacity)
 

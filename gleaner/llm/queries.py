@@ -36,11 +36,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True)
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.read_ids(tokenbin.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return tokenbin.read_ids(tokenbin.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Texts are cut at single spaces and line ends. Both kinds of vocabulary used here start a new pre-token there, so the
 ids of a text are those of its chunks, end to end; texts in which white space meets white space are encoded whole.
 Many chunks go to the library as one string, with a separator between them that is always a pre-token of its own.
+With ``added``, tokens that were added to the vocabulary (<|endoftext|>) are read as such where a text spells them out,
+as by the library left as it is; such texts are encoded whole. Without it, they are ordinary text.
 """
 
 from __future__ import annotations
@@ -43,12 +45,13 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaced = "use_regex" in (kind := self.tokenizer.pre_tokenizer.__repr__()) and "Split" not in kind
         self.mark = "\r" if self.spaced else " \x01 "
         self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[0]
@@ -116,11 +119,12 @@ class Encoder:
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         n = len(texts)
         whole = np.zeros(n, bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if self.spaced:
-            whole = pc.match_substring_regex(texts, _MEETS).to_numpy(zero_copy_only=False)
-            split = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n "), " ")
-        else:
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            whole |= pc.match_substring_regex(texts, _MEETS).to_numpy(zero_copy_only=False)
+        parted = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        split = pc.split_pattern(pc.replace_substring(parted, "\n", " \n " if self.spaced else " "), " ")
         at = split.offsets.to_numpy().astype(np.int64)
         at, values = at - at[0], split.flatten()
         coded = values.dictionary_encode()
@@ -160,9 +164,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, added: bool = False) -> Encoder:
     """One encoder of a vocabulary for each worker process."""
-    return Encoder(vocabulary(name) if "/" not in name else name)
+    return Encoder(vocabulary(name) if "/" not in name else name, added)
 
 
 def crc(ids: np.ndarray) -> int:

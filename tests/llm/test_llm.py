@@ -169,6 +169,31 @@ def test_token_files(docs, none):
         assert (B.unpack_words(*B.pack_words(ids), len(ids)) == ids).all()
 
 
+def test_queries_have_the_plain_librarys_ids(spark, tmp_path):
+    import corpus_pipeline
+    from gleaner.llm import packing as P, queries, tokenbin as B
+    from gleaner.llm.tokens import Encoder, vocabulary
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in TEXTS] + ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\nc", "<|startoftext|> x", "<|EndOfText|>", "x\n<|endoftext|>\n<|endoftext|>", "<|endoftext| > y"]
+    plain = {n: Tokenizer.from_file(vocabulary(n)) for n in (P.VOCABULARY, B.VOCABULARY)}
+    ids = lambda n, i, end: np.array([*plain[n].encode(texts[i], add_special_tokens=False).ids, end], "<u4")
+    for n in plain:
+        got, at = Encoder(vocabulary(n), added=True).encode(pa.array(texts), 2)
+        assert all((got[at[i] : at[i + 1]] == ids(n, i, 2)).all() for i in range(len(texts))) and at[-1] == len(got)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (queries.op5_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, df, "")):
+        want = {(i, len(x := ids(P.VOCABULARY, i, P.END)), zlib.crc32(x)) for i in range(len(texts))}
+        assert {(r["doc_id"], r["length"], r["ids_crc32"]) for r in rows.collect()} == want
+    want, start = set(), 0
+    for i in range(len(texts)):
+        x = ids(B.VOCABULARY, i, B.END)
+        want.add((i, start, len(x), zlib.crc32(x)))
+        start += len(x)
+    assert {tuple(r) for r in queries.op6_token_binary(spark, str(tmp_path)).collect()} == want
+
+
 def test_packing(docs, none):
     from gleaner.llm import packing as P
 
