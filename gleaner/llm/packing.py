@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, after dominance reduction.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, Martello and Toth's
-reduction fixes sets of one, two or three pieces that dominate every other set with the same largest piece, and
-best-fit decreasing packs the rest; both work on counts, so the time depends on the lengths, not on the documents.
+reduction, in part, fixes sets of one or two pieces: the largest piece with the largest companion that fits, if that
+fills the sequence or no two companions exceed it. Three smaller companions may exceed it, so such a set need not
+dominate, and triples are never fixed. Best-fit decreasing packs the rest; both work on counts, so the time depends on the lengths, not on the documents.
 The outcome is a list of patterns (lengths in one sequence) with multiplicities. Each piece then gets its place from
 its rank among the pieces of its length; ranks are counted in salted groups, so a common length is no hot spot.
 
