@@ -305,6 +305,80 @@ def test_pipeline(spark, tmp_path):
     assert {0, 7, 14} & ids in ({7}, {14}) and ids <= set(frames)
 
 
+def _plain_pipeline(rows):
+    """exact, near and substring over (doc_id, text) in plain Python; (doc_id, text) of what is left."""
+    best = {}
+    for i, t in rows:
+        key = low(t)
+        if key not in best or (-1 if i is None else i, t or "") > (-1 if best[key][0] is None else best[key][0], best[key][1] or ""):
+            best[key] = (i, t)
+    digest = lambda t: hashlib.sha256(low(t).encode()).hexdigest()
+    rows = sorted(best.values(), key=lambda r: (math.inf if r[0] is None else r[0], digest(r[1])))
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        first.setdefault(i, k)
+    rows = [r for k, r in enumerate(rows) if r[0] is not None and first[r[0]] == k] + [r for k, r in enumerate(rows) if r[0] is None or first[r[0]] != k]
+    sets = []
+    for _, t in rows:
+        w = SPLIT.findall(low(t).encode())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b)]
+    group, before = list(range(len(rows))), None
+    while before != group:
+        before = list(group)
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    rows = [r for k, r in enumerate(rows) if group[k] == k]
+    spans = [[(m.start(), m.group()) for m in SPLIT.finditer((t or "").encode())] for _, t in rows]
+    words = [tuple(w for _, w in s) for s in spans]
+    counts = Counter(w[i : i + 35] for w in words for i in range(len(w) - 34))
+    out = []
+    for (i, t), s, w in zip(rows, spans, words, strict=True):
+        keep, raw = _cover(w, 35, counts), (t or "").encode()
+        at = [x for x, _ in s] + [len(raw)]
+        out.append((i, t if all(keep) else (raw[: at[0]] + b"".join(raw[at[k] : at[k + 1]] for k in range(len(w)) if keep[k])).decode()))
+    return out
+
+
+def test_pipeline_is_the_plain_version(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+    from gleaner.llm import packing as P
+    from gleaner.llm.tokens import vocabulary
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(5)
+    fresh = lambda n: " ".join("".join(r.choice(list("abcdefgh"), 6)) for _ in range(n))
+    shared, period = fresh(50), fresh(25)
+    rows = [(i, fresh(120)) for i in range(40)]
+    rows += [(40, rows[3][1].upper()), (None, rows[4][1]), (5, rows[5][1]), (5, rows[6][1]), (7, rows[7][1]), (None, None), (41, ""), (None, " x ")]
+    rows += [(50 + i, fresh(30) + " " + shared + "  \n" + fresh(20)) for i in range(4)] + [(60, fresh(10) + " " + " ".join([period] * 3))]
+    for i, k in ((70, 10), (None, 11), (12, 13), (71, 70)):
+        base = next(t for j, t in rows if j == k).split()
+        rows.append((i, " ".join([*base[:60], "zz", *base[61:]])))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own in (("full", rows), ("empty", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in own], schema).repartition(3).write.parquet(d + "/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(40) if own], "doc_id long, quality int, toxic int").write.parquet(d + "/labels.parquet")
+    docs = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    network = C.quality.train(docs, spark.read.parquet(str(tmp_path / "full" / "labels.parquet")))
+    monkeypatch.setattr(C.quality, "train", lambda *_: network)
+    accepted = [(x["doc_id"], x["text"]) for x in C.quality_stage(spark, docs, str(tmp_path / "full")).collect()]
+    assert len(accepted) > 40
+    plain, want = Tokenizer.from_file(vocabulary(P.VOCABULARY)), Counter()
+    for i, t in _plain_pipeline(accepted):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, P.END], "<u4")
+        want[i, 0, 0, len(ids), zlib.crc32(ids)] += 1
+    got = C.run(spark, str(tmp_path / "full")).collect()
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == want
+    by = {}
+    for x in got:
+        by.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for s in map(sorted, by.values()):
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= P.CAPACITY
+    assert C.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_pipeline_drops_copies_by_row(spark):
     import corpus_pipeline as C
 
