@@ -51,9 +51,10 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
+def release(*tables: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
-    delete(df.sparkSession, df.scratch_path)
+    for df in tables:
+        delete(df.sparkSession, df.scratch_path)
 
 
 def lower_ascii(column):
@@ -65,28 +66,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: A key with more rows than this, or than this share of all rows, is joined by broadcasting its few counterparts.
+#: A key with more rows than this, or than this share of all rows, is split: its rows go to several tasks.
 HOT_ROWS, HOT_SHARE = 20_000, 50_000
+#: Keys of at most this many bytes in all are broadcast to find their rows; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None, spread: list[str] | None = None) -> DataFrame:
     """left join right on key, where a key may hold any share of left's rows and at most one row of right's.
 
     Hot keys are counted first, in counted: a table with the same keys as left that is cheaper to read. There are at
-    most HOT_SHARE of them whatever the input, which bounds the broadcast; their rows never move. All other keys take
-    the ordinary shuffle join. left is read twice.
+    most HOT_SHARE of them whatever the input, which bounds what is broadcast: the keys and a number of salts each. A hot
+    key's rows are dealt over its salts by the columns ``spread`` (default: all others), and its row of right is
+    repeated for each salt, so no task gets more than about HOT_ROWS of them, or 1 / HOT_SHARE of all rows.
     """
     counted = left if counted is None else counted
     rows = counted.count()
     most = max(HOT_ROWS, rows // HOT_SHARE)
     if rows <= most:
         return left.join(right, key, how)
-    hot = counted.groupBy(key).count().where(F.col("count") > most).select(key)
-    keys = [r[0] for r in hot.where(F.col(key).isNotNull()).collect()]
-    if not keys:
+    hot = counted.groupBy(key).count().where((F.col("count") > most) & F.col(key).isNotNull()).collect()
+    if not hot:
         return left.join(right, key, how)
-    kind = left.schema[key].dataType.simpleString()
-    chosen = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` {kind}"))
-    few = F.broadcast(right.join(chosen, key, "left_semi"))
-    out = left.join(chosen, key, "left_semi").join(few, key, how)
-    return out.unionByName(left.join(chosen, key, "left_anti").join(right, key, how))
+    salts = left.sparkSession.createDataFrame([(r[key], -(-r["count"] // most)) for r in hot], f"`{key}` {left.schema[key].dataType.simpleString()}, `its salts` long")
+    by = F.xxhash64(*(spread or [c for c in left.columns if c != key]))
+    own = left.join(F.broadcast(salts), key, "left").withColumn("own salt", F.coalesce(F.pmod(by, F.col("its salts")), F.lit(0))).drop("its salts")
+    copies = right.join(F.broadcast(salts), key, "left").withColumn("own salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("its salts", F.lit(1)) - 1))).drop("its salts")
+    return own.join(copies, [key, "own salt"], how).drop("own salt")
+
+
+def rows_of(table: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", width: int = 8) -> DataFrame:
+    """The rows of a wide table that have one of the keys (or, left_anti, that have none).
+
+    Keys of at most BROADCAST_BYTES are counted and broadcast, so that the wide rows stay where they are; more are
+    joined by a shuffle. ``width``: bytes of a key.
+    """
+    return table.join(F.broadcast(keys) if keys.count() * width <= BROADCAST_BYTES else keys, on, how)

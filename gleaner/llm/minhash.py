@@ -13,13 +13,16 @@ With 24 bands, a pair of similarity 0.85 shares no band in 2 of 10^8 cases.
    equal registers of different hashes; what is more than five standard deviations below the threshold is dropped,
    the rest is verified on the full sets.
 3. Components of the links found so far. A bucket whose classes all lie in one component is settled: a further link
-   there would change nothing. In any other bucket all pairs of classes of different components are estimated and
-   verified, in chunks of at most about 256 by 256 classes, so no link between components is lost.
+   there would change nothing. In any other bucket all pairs of classes of different components are estimated in tiles
+   of chunks, in which classes with a plausible partner are marked; their full sets come back to the tile, where all
+   pairs of them are verified and a spanning forest of the links between components is emitted. So no such link is
+   lost, and what a tile emits grows with its classes, not with their pairs. The tiles of a bucket go to different tasks.
 4. Components again, and back to the documents by class.
 
 Sets are held as 64-bit hashes of shingles. Defined results: null and empty texts, and texts without words, have an
-empty set and are linked with nothing; fewer than five words are one shingle. A doc_id names a text: rows that
-repeat it repeat its text (else any one of its texts stands for it). Rows without a doc_id form no component of their own.
+empty set and are linked with nothing; fewer than five words are one shingle. A doc_id names a text; where it
+has several, each row counts with the class of its own set, and the least of the texts speaks for classes that have
+no other name. Rows without a doc_id take part through rows with the same set that have one.
 Further columns are ignored. An empty table gives an empty result.
 """
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import join_skewed, materialise
+from .common import join_skewed, materialise, release, rows_of
 
 WORDS = 5
 BANDS, ROWS = 24, 4
@@ -44,7 +47,8 @@ REGISTERS = BANDS * ROWS * FINE
 MANTISSA = 10
 EMPTY = 0xFFFF
 PERCENT = 85
-CHUNK = 256
+#: A tile of a bucket holds two chunks of its classes at most: about so many classes, and bytes of their sets.
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: Equal short registers by chance: the same number of leading zeros (1 in 3) and the same five bits.
 NONE, CHANCE = 0xFF, 1 / (3 * 2**5)
 
@@ -154,7 +158,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 fine = plausible(_matrix(batch.column("ra")), _matrix(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs, spread=["a"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,7 +178,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 fine.append(100 * both >= PERCENT * (len(a) + len(sb) - both))
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return join_skewed(pairs.join(own, "a"), heads, "b", counted=pairs, spread=["a"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, seed: int = 1) -> DataFrame:
@@ -190,78 +194,185 @@ def components(links: DataFrame, seed: int = 1) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         order = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         step = materialise(both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a")))["to"].alias("to")))
+        old = [labels, links, step]
         labels = materialise(join_skewed(labels, step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         renamed = join_skewed(links, step, "a").select(F.col("to").alias("na"), "b")
         renamed = join_skewed(renamed, step.withColumnRenamed("a", "b"), "b").select(F.col("na").alias("a"), F.col("to").alias("b"))
         links = materialise(renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        release(*old)
+    release(links)
     return labels
 
 
-def unsettled(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but no component, as far as their registers allow a link."""
-    own = join_skewed(rows, labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    own = materialise(own)
-    mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.lit(True).alias("open"))
-    open_ = materialise(join_skewed(own, mixed, "key").select("key", "id", "root"))
-    sizes = open_.groupBy("key").agg(F.count("*").alias("size")).select("key", (F.floor(F.col("size") * 2 / CHUNK) + 1).alias("chunks"))
-    dealt = join_skewed(open_, sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).join(classes.select("id", "n", "regs"), "id")
-    tiles = materialise(dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("id", "n", "root", "regs")).alias("rows")))
-    other = tiles.select("key", F.col("chunk").alias("chunk2"), F.col("rows").alias("rows2"))
+def _dealt(open_: DataFrame) -> DataFrame:
+    """open_ (key, id, root, n) with tile: the buckets' classes in chunks (chunk), and each chunk once for each chunk of its bucket."""
+    sizes = open_.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("chunks"))
+    rows = join_skewed(open_, sizes, "key", spread=["id"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    return rows.withColumn("other", other).select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "root", "n")
+
+
+def _tiles(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """key, low, high, rows: the tiles' classes with their columns of wide (id, ...). A tile's size is bounded by that of chunks."""
+    columns = [c for c in wide.columns if c != "id"]
+    return rows.join(wide, "id").groupBy("key", "low", "high").agg(F.collect_list(F.struct("id", "chunk", "root", *columns)).alias("rows")).where(F.size("rows") > 1)
+
+
+def suspects(dealt: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of dealt (key, low, high, id) that have a plausible partner of another component in their tile.
+
+    A pair is looked at in the first bucket that it shares. What is emitted are classes, not pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x, y = part.column("rows"), part.column("rows2")
-                nx, ny = np.diff(x.offsets.to_numpy()), np.diff(y.offsets.to_numpy())
-                fx, fy = x.flatten(), y.flatten()
-                rx, ry = _matrix(fx.field("regs")), _matrix(fy.field("regs"))
-                kx, ky = fx.field("n").to_numpy(), fy.field("n").to_numpy()
-                ix, iy = fx.field("id").to_numpy(), fy.field("id").to_numpy()
-                ox, oy = fx.field("root").to_numpy(), fy.field("root").to_numpy()
-                bx, by = np.cumsum(nx) - nx, np.cumsum(ny) - ny
-                first, pairs = 0, np.cumsum(nx * ny)
-                while first < len(nx):  # as many tiles at once as make some 200,000 pairs
-                    last = max(first + 1, int(np.searchsorted(pairs, (pairs[first - 1] if first else 0) + 200_000)))
-                    count = nx[first:last] * ny[first:last]
-                    tile = np.repeat(np.arange(first, last), count)
-                    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    i, j = bx[tile] + k // ny[tile], by[tile] + k % ny[tile]
-                    apart = (ox[i] != oy[j]) & (100 * np.minimum(kx[i], ky[j]) >= PERCENT * np.maximum(kx[i], ky[j]))
+            rows, names = batch.column("rows"), [batch.column(c).to_numpy() for c in ("key", "low", "high")]
+            edges, flat = rows.offsets.to_numpy(), rows.flatten()
+            first = edges[0]
+            regs, keys = _matrix(flat.field("regs")), np.frombuffer(b"".join(flat.field("keys").to_pylist()), np.uint64).reshape(-1, BANDS)
+            n, ids, root, chunk = (flat.field(c).to_numpy() for c in ("n", "id", "root", "chunk"))
+            for t in range(batch.num_rows):
+                at, end = edges[t] - first, edges[t + 1] - first
+                key, low, high = (x[t] for x in names)
+                left, right = (np.flatnonzero(chunk[at:end] == c) + at for c in (low, high))
+                marked = np.zeros(end - at, bool)
+                step = max(1, 20_000 // max(1, len(right)))
+                for s in range(0, len(left), step):
+                    i, j = np.repeat(left[s : s + step], len(right)), np.tile(right, len(left[s : s + step]))
+                    apart = (root[i] != root[j]) & ((low != high) | (i < j)) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
                     i, j = i[apart], j[apart]
-                    fine = np.concatenate([plausible(rx[i[s : s + 10_000]], ry[j[s : s + 10_000]], kx[i[s : s + 10_000]], ky[j[s : s + 10_000]]) for s in range(0, len(i), 10_000)] or [np.zeros(0, bool)])
-                    a, b = ix[i[fine]], iy[j[fine]]
+                    near = plausible(regs[i], regs[j], n[i], n[j])
+                    i, j = i[near], j[near]
+                    same = (keys[i] == keys[j]) & (keys[i] != np.uint64(2**64 - 1))
+                    home = keys[i, same.argmax(axis=1)] == np.int64(key).view(np.uint64)
+                    marked[i[home] - at] = marked[j[home] - at] = True
+                found = np.flatnonzero(marked) + at
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x[t])) for x in names] + [pa.array(ids[found])], names=["key", "low", "high", "id"])
+
+    return _tiles(dealt.drop("n"), known.select("id", "n", "regs", "keys")).mapInArrow(run, "key long, low long, high long, id long")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) between components form a spanning forest of them."""
+    names, pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    keep = []
+    for x, y, at in zip(names[0].tolist(), names[1].tolist(), pair.tolist(), strict=True):
+        if (x := top(x)) != (y := top(y)):
+            above[x] = y
+            keep.append(at)
+    return np.array(keep, np.int64)
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over the shingles that more than one set has."""
+    members, count = np.unique(np.concatenate(sets), return_counts=True)
+    members = members[count > 1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, len(members), 8192):
+        some = members[at : at + 8192]
+        held = np.zeros((len(sets), len(some)), np.float32)
+        for i, s in enumerate(sets):
+            held[i] = np.isin(some, s, assume_unique=True)
+        out += held @ held.T
+    return out.astype(np.int64)
+
+
+def settled(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, on full sets: a spanning forest of those in each tile. rows: key, low, high, id, root, chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.column("rows"):
+                flat = pa.RecordBatch.from_struct_array(tile.values)
+                ids, root, chunk = (flat.column(c).to_numpy() for c in ("id", "root", "chunk"))
+                held = [np.frombuffer(x, np.uint64) for x in flat.column("set").to_pylist()]
+                n, both = np.array([len(s) for s in held]), _overlaps(held)
+                i, j = np.nonzero(np.triu(100 * both >= PERCENT * (n[:, None] + n[None, :] - both), 1))
+                across = (root[i] != root[j]) & ((chunk[i] != chunk[j]) | (chunk[i] == chunk.max()) & (chunk.min() == chunk.max()))
+                i, j = i[across], j[across]
+                if len(i):
+                    keep = _forest(root[i], root[j])
+                    a, b = ids[i[keep]], ids[j[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-                    first = last
 
-    return tiles.join(other, "key").where("chunk <= chunk2").select("rows", "rows2").mapInArrow(run, "a long, b long").distinct()
+    return _tiles(rows, sets).mapInArrow(run, "a long, b long")
+
+
+def set_table(texts: DataFrame) -> DataFrame:
+    """id, set (sorted 64-bit hashes) of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], names=["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set binary")
+
+
+def rest_links(shared: DataFrame, labels: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between classes that share a bucket but no component yet; enough of them to join all components that have one."""
+    own = materialise(join_skewed(shared.select("key", "id"), labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", F.lit(True).alias("open"))
+    open_ = materialise(join_skewed(own, mixed, "key", spread=["id"]).select("key", "id", "root").join(known.select("id", "n"), "id"))
+    dealt = materialise(_dealt(open_))
+    found = materialise(suspects(dealt, known))
+    scratch, links = [own, open_, dealt, found], None
+    if found.limit(1).count():
+        sets = materialise(set_table(rows_of(texts, found.select("id").distinct(), ["id"])))
+        links = materialise(settled(dealt.drop("n").join(found, ["key", "low", "high", "id"], "left_semi"), sets))
+        scratch.append(sets)
+    release(*scratch)
+    return links
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = materialise(sketch(docs))
-    classes = materialise(sketches.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("id")).where("id is not null"))
-    rows = bands(sketches.select(F.col("doc_id").alias("id"), "cls", "keys").join(classes, ["cls", "id"]).dropDuplicates(["id"]))
+    least = F.min(F.struct("doc_id", "keys")).alias("least")
+    classes = materialise(sketches.where("cls is not null AND doc_id is not null").groupBy("cls").agg(least).select("cls", F.col("least.doc_id").alias("id"), "least.keys"))
+    repeated = classes.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    named = classes.groupBy("id").agg(F.min(F.struct("cls", "keys")).alias("m")).select("id", "m.keys") if repeated else classes.select("id", "keys")
+    rows = materialise(bands(named))
     sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = materialise(join_skewed(rows, sizes, "key"))
-    middle = shared.groupBy("id").agg(F.sum("size").alias("c"))
-    shared = materialise(shared.select("key", "id").join(middle, "id"))
+    twice = materialise(join_skewed(rows, sizes, "key", spread=["id"]))
+    middle = twice.groupBy("id").agg(F.sum("size").alias("c"))
+    shared = materialise(twice.select("key", "id").join(middle, "id"))
     heads = materialise(shared.groupBy("key").agg(F.max(F.struct("c", F.xxhash64("id").alias("h"), F.col("id").alias("b"))).alias("head")).select("key", "head.b"))
-    stars = materialise(join_skewed(shared, heads, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    ids = shared.select("id").distinct()
-    known = materialise(sketches.select(F.col("doc_id").alias("id"), "n", "regs").where("regs is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    texts = materialise(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    stars = materialise(join_skewed(shared, heads, "key", spread=["id"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    ids = materialise(shared.select("id").distinct())
+    known = rows_of(sketches.where("regs is not null").select(F.col("doc_id").alias("id"), "n", "regs", "keys"), ids, ["id"])
+    texts = rows_of(docs.select(F.col("doc_id").alias("id"), "text"), ids, ["id"])
+    if _repeats(docs, ids):
+        known = known.groupBy("id").agg(F.min(F.struct("n", "regs", "keys")).alias("m")).select("id", "m.*")
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    known, texts = materialise(known), materialise(texts)
     pairs = materialise(likely(stars, known))
     links = materialise(verified(pairs, texts))
     labels = components(links)
-    more = materialise(unsettled(shared.select("key", "id"), labels, known).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.unionByName(verified(more, texts))
-        labels = components(links, seed=100)
+    if (more := rest_links(shared, labels, known, texts)) is not None:
+        if more.limit(1).count():
+            release(labels)
+            labels = components(links.unionByName(more), seed=100)
+        release(more)
     names = labels.groupBy("root").agg(F.min("node").alias("component"))
-    found = materialise(join_skewed(labels, names, "root").select(F.col("node").alias("id"), "component"))
-    by_class = materialise(classes.join(found, "id", "left").select("cls", F.coalesce("component", "id").alias("component")))
-    out = join_skewed(sketches.select("doc_id", "n", "cls"), by_class, "cls", "left")
+    found = join_skewed(labels, names, "root").select(F.col("node").alias("id"), "component")
+    by_class = materialise(classes.select("cls", "id").join(found, "id", "left").select("cls", F.coalesce("component", "id").alias("component")))
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = join_skewed(sketches.select("doc_id", "n", "cls"), by_class, "cls", "left", spread=["doc_id"])
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+    release(sketches, classes, rows, sizes, twice, shared, heads, stars, ids, known, texts, pairs, links, labels, by_class)
+    return out
+
+
+def _repeats(docs: DataFrame, ids: DataFrame) -> bool:
+    """Whether an id of a class is that of several rows."""
+    own = rows_of(docs.select(F.col("doc_id").alias("id")), ids, ["id"])
+    return own.groupBy("id").count().where("count > 1").limit(1).count() > 0
