@@ -1,7 +1,8 @@
 """Texts as flat numpy arrays: words, rolling hashes and sliding minima, all without a loop over rows.
 
-Hashes are 64-bit: a polynomial over random 64-bit values of the symbols, modulo 2^64, with a mixer behind it.
-They depend on fixed seeds only, never on the process.
+Hashes have 62 bits: two polynomials over random values of the symbols, each modulo the prime 2^31 - 1, with a mixer
+behind them. (Modulo 2^64 there would be texts, such as the Thue-Morse word and its complement, that collide under
+every base.) They depend on fixed seeds only, never on the process.
 """
 
 from __future__ import annotations
@@ -19,21 +20,34 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _rng = np.random.Generator(np.random.PCG64(20240607))
 TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-#: Odd, and 5 modulo 8: its powers then have the longest period.
-BASE = U(0x9E3779B97F4A7C15 & ~7 | 5)
-INVERSE = U(pow(int(BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
+PRIME = U(2**31 - 1)
+BASES = (0x5DEECE66, 0x2F0B4C47)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept between calls."""
-    if len(_powers.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME in part: from below 2**62 to below 2**32."""
+    return (x & PRIME) + (x >> U(31))
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any x."""
+    x = fold(fold(x))
+    x -= (x >= PRIME) * PRIME
+    return x
+
+
+def powers(lane: int, down: bool, n: int) -> np.ndarray:
+    """The first n powers of a lane's base, or of its inverse, kept between calls."""
+    kept = _powers.get((lane, down), ())
+    if len(kept) < n:
+        base = pow(BASES[lane], -1 if down else 1, int(PRIME))
+        kept, m = np.ones(max(1 << 16, 1 << (n - 1).bit_length()), np.uint32), 1
+        while m < len(kept):
+            kept[m : 2 * m] = residue(kept[:m] * U(pow(base, m, int(PRIME))))
+            m *= 2
+        _powers[lane, down] = kept
+    return kept[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,27 +60,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Symbols that are hashed at a time, so that what lies between stays in the processor's cache.
+STRIP = 1 << 14
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * BASE**i, one longer than values."""
-    up, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up, out=out[1:])
+    """For each lane, prefix sums of its share of values[i] times its base's power i; one longer than values."""
+    n = len(values)
+    out = np.zeros((2, n + 1), np.uint64)
+    for lane in (0, 1):
+        up, sums = powers(lane, False, n), out[lane]
+        for at in range(0, n, STRIP):
+            x = values[at : at + STRIP]
+            x = (x >> U(33) if lane else x & PRIME) * up[at : at + STRIP]
+            np.cumsum(fold(x), out=sums[at + 1 : at + 1 + len(x)])
+            sums[at + 1 : at + 1 + len(x)] += sums[at]
     return out
 
 
-def ranged(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+def ranged(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the ranges [start, end), from their prefix sums."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+    out = np.empty(len(start), np.uint64)
+    down = [powers(lane, True, sums.shape[1]) for lane in (0, 1)]
+    for at in range(0, len(start), STRIP):
+        a, b = start[at : at + STRIP], end[at : at + STRIP]
+        lanes = [residue(fold(fold(sums[lane][b] - sums[lane][a])) * down[lane][a]) for lane in (0, 1)]
+        out[at : at + STRIP] = mix(lanes[0] << U(31) | lanes[1])
+    return out
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all len(values) - k + 1 runs of k symbols."""
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = prefix(values)
-    return ranged(sums, slice(0, n), slice(k, k + n))
+    n = max(0, len(values) - k + 1)
+    sums, out = prefix(values), np.empty(n, np.uint64)
+    down = [powers(lane, True, n) for lane in (0, 1)]
+    for at in range(0, n, STRIP):
+        end = min(n, at + STRIP)
+        lanes = [residue(fold(fold(sums[lane][at + k : end + k] - sums[lane][at:end])) * down[lane][at:end]) for lane in (0, 1)]
+        out[at:end] = mix(lanes[0] << U(31) | lanes[1])
+    return out
+
+
+def rough(values: np.ndarray, k: int) -> np.ndarray:
+    """Cheap hashes of all runs of k symbols, for choosing among them only: different runs may well collide."""
+    n = max(0, len(values) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for at in range(0, n, STRIP):  # runs of doubling length, put together by the bits of k
+        x = values[at : min(n, at + STRIP) + k - 1]
+        h, size, left, total, length = x, 1, 0, None, min(n, at + STRIP) - at
+        while True:
+            if k & size:
+                part = h[left : left + length]
+                total = part if total is None else total * U(0x9E3779B97F4A7C15) + part
+                left += size
+            if size * 2 > k:
+                break
+            h = h[:-size] * U(0xD1342543DE82EF95 + 2 * size) + h[size:]
+            size *= 2
+        out[at : at + length] = mix(total.copy())
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -10,13 +10,13 @@ holds the documents of some 2 MB of text, and is written once, so every step see
    (all its windows do), stands alone under an anchor that no other content has (none of them does), or must be
    compared further.
 2. Suffixes. Only the windows of segments to be compared are suffixes that need sorting; of equal segments one block
-   sends them. How they are dealt out is the operator's:
+   sends them. How they are dealt out and judged is the operator's:
    op4 splits them by variable-length prefixes into memory-sized groups (a prefix that is too frequent in a sample
-   is extended by further words); a group is sorted by prefix and by window, and nodes at depth ``length`` with more
-   than one leaf below are the deep internal nodes of its suffix tree.
-   op7 deals them to ranges of their leading bytes by sampled splitters (behind the leading bytes the fingerprint
-   decides, so one frequent beginning fills several buckets); a bucket is sorted by leading bytes, then by
-   fingerprint. Equal suffixes have equal keys and never lie on both sides of a splitter.
+   is extended by further words). Each group builds its suffix tree on names of the suffixes' beginnings (``Subtree``);
+   suffixes below an internal node as deep as a window repeat.
+   op7 deals them to buckets by sampled splitters, on their leading bytes and then a fingerprint of the window. A
+   bucket is sorted by multikey quicksort, neighbours are compared, and the buckets' first and last suffixes are
+   compared with each other: a window that is so frequent that several splitters equal it lies in several buckets.
 3. The verdicts go back to the blocks as a byte for each hash sent, and the blocks' documents are cut.
 
 Everything is pre-aggregated per block, so a passage that a third of all documents share is one entry of each block.
@@ -41,14 +41,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import materialise
+from .common import materialise, release
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
 #: Blocks whose samples choose the splitters or prefixes, and windows of each.
 SAMPLED_BLOCKS, SAMPLED_WINDOWS = 512, 64
-#: Numbers of leading words that a prefix may have.
-DEPTHS = (1, 2, 4, 8, 16)
+#: Numbers of leading words that a prefix may have; leading bytes of a suffix that are sorted by as they are.
+DEPTHS, LEAD = (1, 2, 4, 8, 16), 8
+#: Blocks whose hashes meet in a part; runs that the sort leaves to numpy.
+PART_BLOCKS, SMALL = 32, 4096
+ANSWER = "block long, part int, codes binary"
 
 
 @dataclass(frozen=True)
@@ -82,7 +85,8 @@ class Flat:
             self.start = self.last = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, np.uint64)
             return
-        least = arrays.sliding_min(arrays.ranged(self.sums, slice(0, n - gram + 1), slice(gram, n + 1)), length - gram + 1)
+        self.grams = arrays.rough(self.values, gram)
+        least = arrays.sliding_min(self.grams, length - gram + 1)
         inside = np.ones(windows + 2, bool)
         inside[0] = inside[-1] = False
         for end in np.unique(self.first[1:]).tolist():  # windows that would cross the end of a text
@@ -91,7 +95,7 @@ class Flat:
         change[1:-1] = least[1:] != least[:-1]
         self.start = np.flatnonzero(inside[1:-1] & (change[:-1] | ~inside[:-2]))
         self.last = np.flatnonzero(inside[1:-1] & (change[1:] | ~inside[2:]))
-        self.anchor = least[self.start]
+        self.anchor = arrays.mix(least[self.start])  # a minimum is small; mixed, anchors are dealt out evenly
         self.content = arrays.ranged(self.sums, self.start, self.last + length)
 
     def periodic(self) -> np.ndarray:
@@ -101,7 +105,7 @@ class Flat:
         if not len(self.start):
             return np.zeros(0, bool)
         low = U((1 << n.bit_length()) - 1)
-        high = arrays.ranged(self.sums, slice(0, n - gram + 1), slice(gram, n + 1)) & ~low
+        high = self.grams & ~low
         at = np.arange(len(high), dtype=np.uint64)
         left, right = (arrays.sliding_min(high | x, self.unit.length - gram + 1) & low for x in (at, low - at))
         sums = np.zeros(len(left) + 1, np.int64)
@@ -118,17 +122,15 @@ class Flat:
         number[order] = np.cumsum(new) - 1
         return order, np.flatnonzero(new), number
 
-    def fingerprints(self, at: np.ndarray) -> np.ndarray:
-        return arrays.ranged(self.sums, at, at + self.unit.length)
-
     def leads(self, at: np.ndarray) -> np.ndarray:
-        """The five leading bytes of each window as the high bits of a key; the low ones are the fingerprint's."""
+        """The LEAD leading bytes of each window, in the order of texts."""
         key = np.zeros(len(at), np.uint64)
-        for i in range(5):
-            key = key << U(8) | self.data[at + i].astype(np.uint64)
-        return key << U(24) | self.fingerprints(at) >> U(40)
+        for i in range(min(LEAD, self.unit.length)):
+            key |= self.data[at + i].astype(np.uint64) << U(56 - 8 * i)
+        return key
 
-    def prefixes(self, at: np.ndarray, depth: int) -> np.ndarray:
+    def names(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """A name for the first ``depth`` symbols of each window: equal for equal ones."""
         return arrays.ranged(self.sums, at, at + min(depth, self.unit.length))
 
     def covered(self, at: np.ndarray) -> np.ndarray:
@@ -146,28 +148,142 @@ def each(start: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - before, size)
 
 
-# How suffixes are dealt out.
+# op7: a suffix array in range-partitioned buckets.
+
+
+def multikey_quicksort(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their keys of several parts: three-way partitions by one part at a time.
+
+    Rows equal in a part go on to the next one; those below and above its pivot stay with it. Runs of at most
+    SMALL rows are left to numpy.
+    """
+    order, todo = np.arange(len(columns[0])), [(0, len(columns[0]), 0)]
+    while todo:
+        low, high, part = todo.pop()
+        if part == len(columns) or high - low < 2:
+            continue
+        rows = order[low:high]
+        if high - low <= SMALL:
+            order[low:high] = rows[np.lexsort([c[rows] for c in columns[:part - 1 if part else None:-1]])]
+            continue
+        key = columns[part][rows]
+        pivot = np.sort(key[:: max(1, len(key) // 31)])[len(key[:: max(1, len(key) // 31)]) // 2]
+        below, above = key < pivot, key > pivot
+        equal = ~(below | above)
+        order[low:high] = np.concatenate([rows[below], rows[equal], rows[above]])
+        first, second = low + int(below.sum()), high - int(above.sum())
+        todo += [(low, first, part), (first, second, part + 1), (second, high, part)]
+    return order
 
 
 @dataclass(frozen=True)
 class Splitters:
-    """Ranges of leading bytes."""
+    """Ranges of suffixes: by their leading bytes, then by the fingerprint of the whole window."""
 
-    edges: np.ndarray
+    leads: np.ndarray
+    prints: np.ndarray
+    kinds = (np.uint64, np.uint64)
 
     @staticmethod
     def sample(flat: Flat, at: np.ndarray) -> np.ndarray:
-        return flat.leads(at)
+        return np.stack([flat.leads(at), flat.names(at, flat.unit.length)], axis=1).reshape(-1)
 
     @classmethod
     def choose(cls, sample: np.ndarray, parts: int) -> Splitters:
-        s = np.sort(sample)
-        return cls(np.unique(s[(np.arange(1, parts) * len(s)) // parts]) if len(s) else s)
+        rows = sample.reshape(-1, 2)
+        rows = rows[multikey_quicksort([rows[:, 0], rows[:, 1]])]
+        some = rows[(np.arange(1, parts) * len(rows)) // parts] if len(rows) else rows
+        return cls(some[:, 0].copy(), some[:, 1].copy())
+
+    def deal(self, flat: Flat, at: np.ndarray, block: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Bucket and sort key of each suffix. One that several splitters equal goes to any of their buckets, by its block."""
+        lead, fp = flat.leads(at), flat.names(at, flat.unit.length)
+        part, high = (np.searchsorted(self.leads, lead, side=x) for x in ("left", "right"))
+        close = np.flatnonzero(part < high)
+        close = close[np.argsort(part[close], kind="stable")]
+        for rows in np.split(close, np.flatnonzero(np.diff(part[close])) + 1) if len(close) else []:
+            a, b = part[rows[0]], high[rows[0]]
+            left, right = (a + np.searchsorted(self.prints[a:b], fp[rows], side=x) for x in ("left", "right"))
+            part[rows] = np.where(right - left > 1, left + 1 + block % np.maximum(right - left, 1), right)
+        return part.astype(np.int64), [lead, fp]
+
+    @staticmethod
+    def judge(entries: DataFrame) -> DataFrame:
+        """Each bucket is sorted; then its first and last suffix are compared with those of the other buckets."""
+        ends = entries.groupBy("part").applyInPandas(bucket_ends, "part int, end binary")
+        across = ends.groupBy("end").agg(F.collect_set("part").alias("parts")).where(F.size("parts") > 1)
+        bounds = across.select("end", F.explode("parts").alias("part"))
+        return entries.groupBy("part").cogroup(bounds.groupBy("part")).applyInPandas(judge_bucket, ANSWER)
+
+
+def _ends_of(lead: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.stack([lead, fp], axis=1).astype(">u8")
+
+
+def bucket_ends(rows: pd.DataFrame) -> pd.DataFrame:
+    """The least and the greatest suffix of a bucket."""
+    (lead, fp, _), _ = _merge(rows, [*Splitters.kinds, np.uint8])
+    low, high = lead == lead.min(), lead == lead.max()
+    ends = {_ends_of(lead[m][:1], x[None]).tobytes() for m, x in ((low, fp[low].min()), (high, fp[high].max()))}
+    return pd.DataFrame({"part": [rows["part"].iloc[0]] * len(ends), "end": sorted(ends)})
+
+
+def judge_bucket(rows: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+    """For each suffix of a bucket, whether its window occurs again: beside it in the sorted bucket, or across a boundary."""
+    if not len(rows):
+        return pd.DataFrame({"block": [], "part": [], "codes": []})
+    (lead, fp, twice), sizes = _merge(rows, [*Splitters.kinds, np.uint8])
+    order = multikey_quicksort([lead, fp])
+    x, y = lead[order], fp[order]
+    same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])  # neighbours in the suffix array with a common prefix of a whole window
+    again = twice[order] > 0
+    again[1:] |= same
+    again[:-1] |= same
+    codes = np.empty(len(order), np.uint8)
+    codes[order] = again
+    for end in bounds["end"]:  # such suffixes are some bucket's first or last, and another's too
+        a, b = np.frombuffer(end, ">u8")
+        codes[(lead == a) & (fp == b)] = 1
+    # A suffix twice in its block, or beside an equal one, answers for all its equals in the bucket.
+    run = np.cumsum(np.r_[True, ~same]) - 1
+    codes[order] = np.maximum.reduceat(codes[order], np.flatnonzero(np.r_[True, ~same]))[run]
+    return _answers(rows, codes, sizes)
+
+
+# op4: suffix trees, split by prefixes.
+
+
+@dataclass(frozen=True)
+class Subtree:
+    """The suffix tree of a prefix group, down to the depth of a window, on names of the suffixes' beginnings.
 
-    def deal(self, flat: Flat, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Part of each suffix, and what it is sorted by before its fingerprint."""
-        key = flat.leads(at)
-        return np.searchsorted(self.edges, key, side="right"), key
+    ``order`` are the leaves from left to right. ``lcp`` tells for each leaf at how many of the tree's depths it shares
+    the beginning with the leaf before it. A node at depth d is a maximal run of leaves whose lcp is above d.
+    """
+
+    order: np.ndarray
+    lcp: np.ndarray
+    depths: int
+
+    @classmethod
+    def build(cls, names: list[np.ndarray]) -> Subtree:
+        order = np.lexsort(names[::-1])
+        lcp, shared = np.zeros(len(order), np.int8), np.ones(max(0, len(order) - 1), bool)
+        for name in names:
+            shared &= name[order][1:] == name[order][:-1]
+            lcp[1:] += shared
+        return cls(order, lcp, len(names))
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The node above each leaf at a depth (from 0), numbered from left to right."""
+        return np.cumsum(self.lcp <= depth) - 1
+
+    def deep(self, weights: np.ndarray) -> np.ndarray:
+        """Leaves (in the order of the input) below an internal node as deep as a window; weights: how often each leaf occurs."""
+        node = self.nodes(self.depths - 1)
+        out = np.empty(len(node), bool)
+        out[self.order] = (np.bincount(node, weights=weights[self.order]) > 1)[node]
+        return out
 
 
 @dataclass(frozen=True)
@@ -176,10 +292,13 @@ class Prefixes:
 
     frequent: tuple[np.ndarray, ...]
     parts: int
+    #: The prefix, then the tree's depths as shares of a window.
+    kinds = (np.uint64, np.uint64, np.uint64)
+    shares = (2, 1)
 
     @staticmethod
     def sample(flat: Flat, at: np.ndarray) -> np.ndarray:
-        return np.stack([flat.prefixes(at, d) for d in DEPTHS], axis=1).reshape(-1)
+        return np.stack([flat.names(at, d) for d in DEPTHS], axis=1).reshape(-1)
 
     @classmethod
     def choose(cls, sample: np.ndarray, parts: int) -> Prefixes:
@@ -191,16 +310,27 @@ class Prefixes:
             rows = rows[np.isin(rows[:, d], out[-1])]
         return cls(tuple(out), parts)
 
-    def deal(self, flat: Flat, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = flat.prefixes(at, DEPTHS[0])
+    def deal(self, flat: Flat, at: np.ndarray, block: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Group of each suffix, its prefix and its names at the tree's depths."""
+        key = flat.names(at, DEPTHS[0])
         open_ = np.arange(len(at))
         for d, frequent in enumerate(self.frequent):
             open_ = open_[np.isin(key[open_], frequent)]
             if not len(open_):
                 break
             depth = DEPTHS[d + 1] if d + 1 < len(DEPTHS) else flat.unit.length
-            key[open_] = flat.prefixes(at[open_], depth)
-        return (key % U(self.parts)).astype(np.int64), key
+            key[open_] = flat.names(at[open_], depth)
+        return (key % U(self.parts)).astype(np.int64), [key, *(flat.names(at, flat.unit.length // x) for x in self.shares)]
+
+    @staticmethod
+    def judge(entries: DataFrame) -> DataFrame:
+        return entries.groupBy("part").applyInPandas(judge_group, ANSWER)
+
+
+def judge_group(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each suffix of a prefix group, whether a deep internal node of the group's suffix tree is above it."""
+    (*names, twice), sizes = _merge(rows, [*Prefixes.kinds, np.uint8])
+    return _answers(rows, Subtree.build(names).deep(1 + twice.astype(np.int64)).astype(np.uint8), sizes)
 
 
 # The steps.
@@ -287,20 +417,6 @@ def judge_segments(rows: pd.DataFrame) -> pd.DataFrame:
     return _answers(rows, codes, sizes)
 
 
-def judge_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Step 2, in: for each suffix sent, whether its window occurs again. Sorted by what it was dealt by, then by fingerprint."""
-    (key, fp, twice), sizes = _merge(rows, [np.uint64, np.uint64, np.uint8])
-    order = np.lexsort((fp, key))
-    k, f = key[order], fp[order]
-    new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (k[1:] != k[:-1])
-    node = np.cumsum(new) - 1
-    leaves = np.bincount(node) + np.bincount(node, weights=twice[order]).astype(np.int64)
-    codes = np.empty(len(f), np.uint8)
-    codes[order] = (leaves > 1)[node]
-    return _answers(rows, codes, sizes)
-
-
 def _by_block(answers: DataFrame, name: str) -> DataFrame:
     """The answers of a block in one row: an entry for each part, whose bytes are as many as the block sent."""
     return answers.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias(name))
@@ -311,43 +427,41 @@ def _codes(rows: list | None) -> np.ndarray:
 
 
 def suffixes(table: DataFrame, unit: Unit, deal) -> DataFrame:
-    """Step 2, out: part, block, c0 sort keys, c1 fingerprints, c2 whether the block has the window twice."""
+    """Step 2, out: part, block, c0 ... the columns that deal sorts by, and last whether the block has the window twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "segments")), strict=True):
-                flat = Flat(load(payload).column("text"), unit)
-                part, key, fp, twice, _, _ = _suffixes(flat, _codes(codes), deal)
-                yield _entries(block, part, [key, fp, twice])
+                part, columns, _, _ = _suffixes(Flat(load(payload).column("text"), unit), _codes(codes), deal, block)
+                yield _entries(block, part, columns)
 
-    return table.mapInArrow(run, "part int, block long, c0 binary, c1 binary, c2 binary")
+    return table.mapInArrow(run, ", ".join(["part int, block long", *(f"c{i} binary" for i in range(len(deal.kinds) + 1))]))
 
 
-def _suffixes(flat: Flat, codes: np.ndarray, deal) -> tuple:
+def _suffixes(flat: Flat, codes: np.ndarray, deal, block: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """What step 2 sends of a block, in order; and for step 3 the windows to be decided and the entry of each."""
     order, new, number = flat.distinct()
     first = order[new]  # one segment of each distinct content
     send = first[codes & 2 > 0]
     at = each(flat.start[send], flat.last[send])
-    part, key = deal.deal(flat, at)
-    fp = flat.fingerprints(at)
-    by = np.lexsort((fp, key, part))
-    p, k, f = part[by], key[by], fp[by]
+    part, columns = deal.deal(flat, at, block)
+    by = np.lexsort([*columns[::-1], part])
+    part, columns = part[by], [c[by] for c in columns]
     fresh = np.ones(len(by), bool)
-    fresh[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (f[1:] != f[:-1])
+    fresh[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (part, *columns)])
     edges = np.flatnonzero(fresh)
     entry = np.empty(len(by), np.int64)
     entry[by] = np.cumsum(fresh) - 1
     twice = (np.diff(np.r_[edges, len(by)]) > 1).astype(np.uint8)
-    return p[edges], k[edges], f[edges], twice, at, entry
+    return part[edges], [*(c[edges] for c in columns), twice], at, entry
 
 
-def repeated(flat: Flat, segments: np.ndarray, windows: np.ndarray, deal) -> np.ndarray:
+def repeated(flat: Flat, segments: np.ndarray, windows: np.ndarray, deal, block: int) -> np.ndarray:
     """Starts of all repeated windows of a block, from the verdicts on its segments and suffixes."""
     _, _, number = flat.distinct()
     whole = segments[number] & 1 > 0 if len(number) else np.zeros(0, bool)
     out = each(flat.start[whole], flat.last[whole])
-    *_, at, entry = _suffixes(flat, segments, deal)
+    *_, at, entry = _suffixes(flat, segments, deal, block)
     return np.concatenate([out, at[windows[entry] > 0]]) if len(at) else out
 
 
@@ -355,22 +469,23 @@ def cut(docs: DataFrame, unit: Unit, how: type, emit: Callable[[pa.RecordBatch,
     """Find all repeated windows of docs.text and give each block's rows, with what is covered, to emit."""
     spark = docs.sparkSession
     table = materialise(blocks(docs))
-    # Some sixteen blocks' hashes for each part, so that its memory doesn't grow with the input.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // 16)
+    # The hashes of so many blocks for each part, so that its memory doesn't grow with the input.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // PART_BLOCKS)
     sent = materialise(anchors(table, unit, parts, how))
     sample = [r["c0"] for r in sent.where("part = -1").orderBy(F.xxhash64("block")).limit(SAMPLED_BLOCKS).select("c0").collect()]
     deal = how.choose(np.frombuffer(b"".join(sample), np.uint64), parts)
-    answer = "block long, part int, codes binary"
-    segments = materialise(sent.where("part >= 0").groupBy("part").applyInPandas(judge_segments, answer))
+    segments = materialise(sent.where("part >= 0").groupBy("part").applyInPandas(judge_segments, ANSWER))
+    release(sent)
+    # One plan from here on: the payloads are shuffled to their answers once, and both steps read that.
     second = table.join(_by_block(segments, "segments"), "block", "left")
-    windows = materialise(suffixes(second, unit, deal).groupBy("part").applyInPandas(judge_windows, answer))
+    windows = how.judge(suffixes(second, unit, deal))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, s, w in zip(*(batch.column(c).to_pylist() for c in ("payload", "segments", "windows")), strict=True):
+            for block, payload, s, w in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "segments", "windows")), strict=True):
                 rows = load(payload)
                 flat = Flat(rows.column("text"), unit)
-                yield emit(rows, flat, flat.covered(repeated(flat, _codes(s), _codes(w), deal)))
+                yield emit(rows, flat, flat.covered(repeated(flat, _codes(s), _codes(w), deal, block)))
 
     return second.join(_by_block(windows, "windows"), "block", "left").mapInArrow(run, schema)
 
@@ -412,7 +527,7 @@ def _keep_text(rows: pa.RecordBatch, flat: Flat, covered: np.ndarray) -> pa.Reco
             gone[at[w] - begin[i] : min(at[w + 1], begin[i + 1]) - begin[i]] = True
         texts[i] = flat.data[begin[i] : begin[i + 1]][~gone].tobytes().decode()
     where = rows.schema.get_field_index("text")
-    return rows.set_column(where, "text", pa.array(texts, rows.column("text").type)).append_column("removed words", pa.array(removed))
+    return rows.set_column(where, "text", pa.array(texts, rows.column("text").type))
 
 
 WORDS = Unit(True, 35, 12)
@@ -428,7 +543,7 @@ def substring_dedup(docs: DataFrame, length: int = WORDS.length, gram: int | Non
 def without_repeats(docs: DataFrame, length: int = WORDS.length) -> DataFrame:
     """docs with all its columns, its texts without repeated windows of words."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return cut(docs, Unit(True, length, max(1, length // 3)), Prefixes, _keep_text, f"{schema}, `removed words` long").select(*docs.columns)
+    return cut(docs, Unit(True, length, max(1, length // 3)), Prefixes, _keep_text, schema)
 
 
 def suffix_array_dedup(docs: DataFrame, length: int = BYTES.length, gram: int | None = None) -> DataFrame:

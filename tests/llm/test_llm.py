@@ -415,3 +415,66 @@ def test_queries_against_sql(spark):
         columns = [c[0] for c in want.description]
         own = sorted(range(len(columns)), key=lambda i: columns[i])
         assert sorted(map(repr, ([r[i] for i in order] for r in df.collect()))) == sorted(map(repr, ([r[i] for i in own] for r in want.fetchall())))
+
+
+def test_hashes_tell_the_thue_morse_word_from_its_complement(spark):
+    from gleaner.llm.repeats import substring_dedup
+    from gleaner.llm.segmentation import sample_segmentations
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([*(f"x{i}" for i in range(20)), w, *(f"y{i}" for i in range(15))]) for w in (word, other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup(df).collect()} == {0}
+    both = spark.createDataFrame([(1, word + " " + other)], "k int, text string")
+    assert all(r["decoded"] for r in sample_segmentations(both, ["k"], 2).collect())
+
+
+def test_multikey_quicksort_and_subtrees():
+    from gleaner.llm import repeats as R
+
+    r = np.random.default_rng(0)
+    for n in (0, 1, 5000, 30_000):
+        a, b = (r.integers(0, 40, n).astype(np.uint64) for _ in range(2))
+        order = R.multikey_quicksort([a, b])
+        want = np.lexsort((b, a))
+        assert sorted(order.tolist()) == list(range(n)) and (a[order] == a[want]).all() and (b[order] == b[want]).all()
+    names = [r.integers(0, 3, 500).astype(np.uint64) for _ in range(3)]
+    names = [names[0], names[0] * np.uint64(3) + names[1], (names[0] * np.uint64(3) + names[1]) * np.uint64(30) + names[2]]
+    tree = R.Subtree.build(names)
+    for d in range(3):
+        assert len(set(tree.nodes(d).tolist())) == len(set(names[d].tolist()))
+    times = Counter(names[2].tolist())
+    assert tree.deep(np.ones(500, np.int64)).tolist() == [times[x] > 1 for x in names[2].tolist()]
+
+
+def test_a_window_that_fills_several_buckets(spark, monkeypatch):
+    from gleaner.llm import repeats as R
+
+    monkeypatch.setattr(R, "BLOCK_BYTES", 300)
+    shared = _line(220, 1)
+    rows = [(i, shared + _line(90, 10 + i)) for i in range(40)] + [(100 + i, _line(400, 900 + i)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for dedup, words in ((R.suffix_array_dedup, False),):
+        got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in dedup(docs, 200, 64).collect()}
+        assert {k: v for k, v in got.items() if k >= 100} == {100 + i: (0, 0) for i in range(5)}
+        raw = [t for _, t in rows]
+        counts = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+        for k, t in rows:
+            keep = _cover(t, 200, counts)
+            assert got[k][0] == len(t) - sum(keep)
+    s = R.Splitters(np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 7, 7, 7, 2], np.uint64))
+
+    class Two:
+        unit = R.BYTES
+
+        def leads(self, at):
+            return np.array([5, 5, 5, 1, 9, 9], np.uint64)
+
+        def names(self, at, depth):
+            return np.array([7, 6, 8, 0, 2, 3], np.uint64)
+
+    for block in range(6):
+        assert s.deal(Two(), np.arange(6), block)[0].tolist() == [2 + block % 3, 1, 4, 0, 5, 5]
