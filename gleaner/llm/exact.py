@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, materialise
+from .common import BROADCAST_BYTES, lower_ascii, materialise, release
 
 #: A third of the rows in one group must leave each salt's share small: one salt more for so many documents.
 DOCUMENTS_PER_SALT = 200_000
 LEAST_SALTS = 32
 #: The columns that carry verdicts to rows; no input has columns of such names.
-ROW_ID, DIGEST = "verdict on id", "verdict on digest"
+ROW_ID, DIGEST, OWN_DIGEST = "verdict on id", "verdict on digest", "own digest"
+#: Bytes of a row's key: id and digest.
+KEY_BYTES = 48
 
 
 def salts_for(rows: int) -> int:
@@ -83,13 +85,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     judged = exact_dedup(docs).where("group_size > 1")
-    verdicts = materialise(judged.select(F.col("doc_id").alias(ROW_ID), F.col("text_sha256").alias(DIGEST), "kept"))
-    gone = verdicts.where("NOT kept").select(ROW_ID, DIGEST).distinct()
-    own = docs.select("*", F.sha2(normalised("text"), 256).alias("own digest"))
-    same = F.col("doc_id").cast(T.LongType()).eqNullSafe(F.col(ROW_ID)) & (F.col("own digest") == F.col(DIGEST))
-    rest = own.join(gone, same, "left_anti")
-    if not verdicts.where("kept").groupBy(DIGEST).count().where("count > 1").limit(1).count():
+    verdicts = materialise(judged.select(F.col("doc_id").alias(ROW_ID), F.unhex("text_sha256").alias(DIGEST), "kept"))
+    gone = materialise(verdicts.where("NOT kept").select(ROW_ID, DIGEST).distinct())
+    own = docs.select("*", F.unhex(F.sha2(normalised("text"), 256)).alias(OWN_DIGEST))
+    same = F.col("doc_id").cast(T.LongType()).eqNullSafe(F.col(ROW_ID)) & (F.col(OWN_DIGEST) == F.col(DIGEST))
+    # So long as the keys are few, the texts stay where they are; else they move once more.
+    few = gone.count() * KEY_BYTES <= BROADCAST_BYTES
+    rest = own.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    clean = not verdicts.where("kept").groupBy(DIGEST).count().where("count > 1").limit(1).count()
+    release(verdicts)
+    if clean:
         return rest.select(*columns)
     check = F.xxhash64(normalised("text"), F.length(normalised("text")))  # as above, for texts with the same digest
-    one = rest.groupBy("own digest", check).agg(F.max(F.struct(*columns)).alias("row"))
+    one = rest.groupBy(OWN_DIGEST, check).agg(F.max(F.struct(*columns)).alias("row"))
     return one.select("row.*")

@@ -9,8 +9,9 @@ Training takes a bounded sample: at most ``sample`` positives and about as many
 doc_id; every row is scored, over its whole text.
 
 Defined results: null and empty texts get the score of a text without words. Labels that are null, or of rows that
-aren't in the table, are ignored; repeated labels count once. Without positives, all rows score 0.5. Rows are
-scored one by one, so repeated rows, ties and further columns have no influence on one another.
+aren't in the table, are ignored; repeated labels count once. Without positives, all rows score 0.5 and are accepted; an
+empty table gives an empty result. Rows are scored one by one, so repeated rows, ties and further columns have no
+influence on one another.
 """
 
 from __future__ import annotations
@@ -195,8 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
         return None
     pool = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != 1)
     share = min(1.0, sample * 1.5 / max(1, docs.count()))
-    unlabelled = _gather(pool.where(F.pmod(spread, F.lit(1_000_000)) < int(share * 1_000_000)))
-    return fit(positive, unlabelled)
+    # A share of all hashes: about 1.5 times ``sample`` rows, however many there are.
+    most = int((share * 2 - 1) * 2.0**63) if share < 1 else 2**63 - 1
+    unlabelled = _gather(pool.where(spread <= F.lit(most)))
+    return fit(positive, unlabelled if len(unlabelled) else positive)
 
 
 def score(docs: DataFrame, network: Network | None, keep: list[str] | None = None) -> DataFrame:
@@ -204,8 +207,8 @@ def score(docs: DataFrame, network: Network | None, keep: list[str] | None = Non
     keep = keep or ["doc_id"]
     if network is None:
         return docs.select(*keep, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    own = docs.select(*keep, F.col("text").alias("text to score")) if "text" in keep else docs.select(*keep, "text")
-    column = "text to score" if "text" in keep else "text"
+    own = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
+    column = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces(batches, column):
@@ -216,6 +219,18 @@ def score(docs: DataFrame, network: Network | None, keep: list[str] | None = Non
     return own.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns, whatever their names."""
+    if network is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.pieces(batches, "text"):
+            yield batch.filter(pa.array(network.score(features(batch.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     network = train(docs, labels, sample)

@@ -478,3 +478,28 @@ def test_a_window_that_fills_several_buckets(spark, monkeypatch):
 
     for block in range(6):
         assert s.deal(Two(), np.arange(6), block)[0].tolist() == [2 + block % 3, 1, 4, 0, 5, 5]
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as C
+
+    names = ["score", "predicted", "text to score", "removed words", "own digest x", "keep_id", "kept", "n", "salt", "digest", "norm"]
+    text = lambda i: " ".join(f"t{i}x{j}" for j in range(60))
+    rows = [(i, text(i // 2), "en", "s", 1, *range(len(names))) for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.strip("`") for c in re.findall(r"(`[^`]+`|\w+) (?:long|string|int)", schema)], name
+    assert docs.count() == 20 and {r["n_chars"] for r in docs.collect()} == {len(text(i)) for i in range(20)}
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 20
+
+
+def test_quality_of_few_or_no_rows(spark):
+    from gleaner.llm import quality as Q
+
+    docs = spark.createDataFrame([(0, "only one text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    assert Q.classify(docs, labels).count() == 1 and Q.classify(docs.limit(0), labels).count() == 0
+    assert Q.accepted(docs.limit(0), None).count() == 0
