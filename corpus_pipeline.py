@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact, minhash, packing, quality, repeats
-from gleaner.llm.common import materialise, read
+from gleaner.llm.common import materialise, read, release, rows_of
 
 OWN_ID = "own id"
 
@@ -14,7 +14,7 @@ OWN_ID = "own id"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled rows of all folds but the held-out one."""
     network = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, network, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, network)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the document that gives its component the name. Texts are judged each, whatever ids they share."""
     rows = _numbered(docs)
     verdicts = minhash.near_dedup(rows.select(F.col(OWN_ID).alias("doc_id"), "text"))
-    dropped = verdicts.where("NOT kept").select(F.col("doc_id").alias(OWN_ID)).distinct()
-    return rows.join(dropped, OWN_ID, "left_anti").select(*docs.columns)
+    dropped = materialise(verdicts.where("NOT kept").select(F.col("doc_id").alias(OWN_ID)).distinct())
+    release(verdicts)
+    return rows_of(rows, dropped, [OWN_ID], "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
