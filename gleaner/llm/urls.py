@@ -11,7 +11,9 @@ checked against ``max_bytes``; a longer list is looked up by an equi-join instea
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; a url that fits no
 rule gets the cascade's verdict for keys that no list has: allow. Repeated rules count once; if one rule is both
-allowed and blocked, block wins. Further columns of the table are ignored.
+allowed and blocked, block wins. Further columns of the table are ignored, repeated rows are judged each, and an empty
+table gives an empty result. A host's suffixes are built for the label counts that rules have, so a long host costs
+its length.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import join_skewed, lower_ascii, materialise, release
 
 MAX_BYTES = 1 << 20
 
@@ -95,7 +97,7 @@ def cascade(listed: DataFrame, universe: DataFrame, universe_size: int, max_byte
     if n * math.log2(1 / rate) * 1.5 / 8 * 2 > max_bytes:
         return None
     levels = [level_of(listed, n, rate, 1)]
-    passing = universe.where(levels[0].has(F.col("key"), 1))
+    passing = materialise(universe.where(levels[0].has(F.col("key"), 1)).distinct())  # the universe is read once for all levels
     wrong = (
         passing.select("key", F.lit(0).alias("is")).unionByName(listed.select("key", F.lit(1).alias("is")))
         .groupBy("key").agg(F.max("is").alias("is")).where("is = 0").select("key")
@@ -105,6 +107,7 @@ def cascade(listed: DataFrame, universe: DataFrame, universe_size: int, max_byte
         number = len(levels) + 1
         levels.append(level := level_of(wrong, count, 0.5, number))
         wrong, right = right.where(level.has(F.col("key"), number)), wrong
+    release(passing)
     return Cascade(tuple(levels))
 
 
@@ -118,10 +121,14 @@ def parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), path
 
 
-def candidates(lengths: list[int]) -> Column:
-    """Every rule key that could fit: host suffixes at label boundaries times path prefixes of the rules' lengths."""
-    labels = F.split(F.col("host"), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def candidates(counts: list[int], lengths: list[int]) -> Column:
+    """Every rule key that could fit: host suffixes of as many labels as rules have, times path prefixes of the rules' lengths."""
+    hosts = F.filter(F.array(*[F.when(labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in counts]), lambda h: h.isNotNull())
     paths = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
     return F.flatten(F.transform(hosts, lambda h: F.transform(F.filter(paths, lambda p: p.isNotNull()), lambda p: F.concat(h, p))))
 
@@ -139,7 +146,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], max_bytes: int = MAX_BYTES) ->
     urls = _split(pages)
     if not keys:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    urls = urls.withColumn("keys", candidates(sorted({len(r.path) for r in rules})))
+    urls = urls.withColumn("keys", candidates(sorted({r.host.count(".") + 1 for r in rules}), sorted({len(r.path) for r in rules})))
     universe = urls.select(F.explode("keys").alias("key"))
     size = urls.agg(F.sum(F.size("keys"))).first()[0] or 0
     table = spark.createDataFrame([(k,) for k in keys], "key string")
@@ -161,10 +168,9 @@ def lookup_by_join(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     for r in rules:
         verdicts[r.key] = "block" if r.verdict == "block" or verdicts.get(r.key) == "block" else "allow"
     table = spark.createDataFrame(sorted(verdicts.items()), "key string, v string")
+    rows = materialise(urls.withColumn("row", F.monotonically_increasing_id()))
     found = (
-        urls.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key"))
-        .join(table, "key", "left")
+        join_skewed(rows.select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key")), table, "key", "left", spread=["row"])
         .groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path")], F.max(F.when(F.col("v").isNotNull(), F.struct(F.length("key").alias("n"), "key", "v"))).alias("best"))
     )
     return found.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.v", F.lit("allow")).alias("verdict"))
