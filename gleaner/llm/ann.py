@@ -11,7 +11,8 @@ block, which is a stated query set against all rows, in blocks.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of another
 dimension than the query aren't its candidates. Rows with the query's own vec_id aren't its candidates. Ties go to
-the smaller vec_id. A table without vectors gives an empty result.
+the smaller vec_id. Of rows with one vec_id, that with the greatest vector (by its components, from the first on) counts.
+Further columns are ignored. A table without vectors gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 8192
+#: Surviving pairs that are recomputed at a time.
+SURVIVORS = 1 << 16
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -55,17 +58,18 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     """The k best candidates of each query within a tile: query ids, candidate ids, scores."""
     qc, qs, qe, qk = quantise(q)
     cc, cs, ce, ck = quantise(c)
-    cf, cn = cc.astype(np.float32), ck + ce
+    kind = np.float32 if c.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of int8 products are exact in it
+    cf, cn = cc.astype(kind), ck + ce
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 128):  # strips of the tile, so that its bounds stay small
         s = slice(at, at + 128)
-        near = (qc[s].astype(np.float32) @ cf.T).astype(np.float64) * qs[s, None] * cs[None, :]
+        near = (qc[s].astype(kind) @ cf.T).astype(np.float64) * qs[s, None] * cs[None, :]
         bound = qe[s, None] * cn[None, :] + qk[s, None] * ce[None, :] + 1e-9 * (qk[s] + qe[s])[:, None] * cn[None, :]
         own = qid[s, None] == cid[None, :]
         low = np.where(own, -np.inf, near - bound)
         least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
         i, j = np.nonzero((near + bound >= least[:, None]) & ~own)
-        score = exact(q[s][i], c[j])
+        score = np.concatenate([exact(q[s][i[x : x + SURVIVORS]], c[j[x : x + SURVIVORS]]) for x in range(0, len(i), SURVIVORS)] or [np.zeros(0)])
         order = np.lexsort((cid[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
@@ -80,28 +84,24 @@ def _matrix(ids: list[bytes], blobs: list[bytes], dim: int) -> tuple[np.ndarray,
 
 def _blocks(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition as blocks of at most ``size`` vectors of one dimension, one row each."""
-        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        made = 0
+        """Rows of a partition as blocks of at most ``size`` vectors of one dimension, one row each.
 
-        def row(dim: int) -> pa.RecordBatch:
-            nonlocal made
-            ids, vectors = held.pop(dim)
-            made += 1
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "blob": [np.stack(vectors).tobytes()]})
+        All rows with a vec_id are in one partition; the greatest of their vectors stands for it.
+        """
+        one: dict[int, np.ndarray] = {}
 
         for batch in batches:
             column = batch.column("v")
             values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             for i, vec in enumerate(batch.column("vec_id").to_pylist()):
                 x = values[offsets[i] : offsets[i + 1]]
-                ids, vectors = held.setdefault(len(x), ([], []))
-                ids.append(vec)
-                vectors.append(x)
-                if len(ids) >= size:
-                    yield row(len(x))
-        for dim in list(held):
-            yield row(dim)
+                if vec not in one or one[vec].tolist() < x.tolist():
+                    one[vec] = x.copy()
+        for dim in sorted({len(x) for x in one.values()}):
+            ids = sorted(vec for vec, x in one.items() if len(x) == dim)
+            for at in range(0, len(ids), size):
+                some = ids[at : at + size]
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [np.array(some, np.int64).tobytes()], "blob": [np.stack([one[x] for x in some]).tobytes()]})
 
     return pack
 
@@ -114,7 +114,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
     # A tile's key: the part of the candidates (dealt by id, a block or two) and the group of query blocks.
     groups, parts = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (g, n))
     cand = usable(vectors).repartition(n, "vec_id").mapInArrow(_blocks(block), packed).select(F.spark_partition_id().alias("part"), groups.alias("grp"), "*")
-    quer = usable(queries).mapInArrow(_blocks(1024), packed).select(F.pmod(F.xxhash64("ids"), F.lit(g)).cast("int").alias("grp"), parts.alias("part"), "*")
+    quer = usable(queries).repartition(max(1, -(-queries.count() // 1024)), "vec_id").mapInArrow(_blocks(1024), packed).select(F.pmod(F.xxhash64("ids"), F.lit(g)).cast("int").alias("grp"), parts.alias("part"), "*")
 
     def join(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
