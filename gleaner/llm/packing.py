@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, after dominance reduction.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, Martello and Toth's
-reduction, in part, fixes sets of one or two pieces: the largest piece with the largest companion that fits, if that
-fills the sequence or no two companions exceed it. Three smaller companions may exceed it, so such a set need not
-dominate, and triples are never fixed. Best-fit decreasing packs the rest; both work on counts, so the time depends on the lengths, not on the documents.
+reduction fixes sets of one, two or three pieces that dominate every other set with their first piece, so that some
+best packing has them. Best-fit decreasing packs the rest; both work on counts, so the time depends on the lengths, not
+on the documents.
 The outcome is a list of patterns (lengths in one sequence) with multiplicities. Each piece then gets its place from
 its rank among the pieces of its length; ranks are counted in salted groups, so a common length is no hot spot.
 
@@ -29,7 +29,8 @@ from .tokens import encoder
 
 CAPACITY = 4096
 VOCABULARY, END = "word_bpe_49k.json", 1
-SALTS = 64
+#: Pieces of a length, the full one first of all, are ranked in groups of about so many.
+PIECES_PER_SALT, LEAST_SALTS = 200_000, 64
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, added: bool = False) -> DataFrame:
@@ -60,49 +61,78 @@ class Pattern:
 
 
 def reduce_dominated(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Fix dominating sets, largest piece first; takes them out of counts (by length, changed in place)."""
-    out: list[Pattern] = []
-
-    def fix(times: int, *lengths: int) -> None:
-        out.append(Pattern(lengths, times))
-        for x in lengths:
-            counts[x] -= times
+    """Fix sets that dominate every other set with their largest piece; takes them out of counts (by length, changed in place).
 
-    for j in range(capacity, 0, -1):
-        while counts[j]:
-            room = capacity - j
-            counts[j] -= 1  # the others only
-            have = np.flatnonzero(counts[: room + 1])
-            counts[j] += 1
-            if not len(have):  # nothing fits beside it
-                fix(int(counts[j]), j)
-                continue
-            k = int(have[-1])
-            # The largest single companion dominates if it fills the sequence, or if no two pieces together exceed it.
-            if k != room and _best_pair(counts, have, room, j) > k:
-                break
-            fix(int(counts[j]) // 2 if k == j else int(min(counts[j], counts[k])), j, k)
+    Passes go from the largest piece to the smallest, until one fixes nothing. See ``dominating`` for the sets.
+    """
+    out: list[Pattern] = []
+    before = -1
+    while len(out) != before:
+        before = len(out)
+        for j in np.flatnonzero(counts)[::-1].tolist():
+            while counts[j] and (best := dominating(counts, j, capacity)):
+                times = min(int(counts[x]) // best.count(x) for x in best)
+                out.append(Pattern(best, times))
+                for x in best:
+                    counts[x] -= times
     return out
 
 
-def _best_pair(counts: np.ndarray, have: np.ndarray, room: int, j: int) -> int:
+def dominating(counts: np.ndarray, j: int, capacity: int) -> tuple[int, ...] | None:
+    """The set of j and at most two companions that dominates all sets with j, if there is one.
+
+    Nothing fits beside j: {j}. The largest companion k that fits fills the room, or no two companions fit, or (no three
+    fit) no two are longer than k together: {j, k}, as what stands beside j elsewhere can take k's place. No three fit,
+    and of any two that fit the smaller isn't longer than the largest companion b that fits beside j and k: {j, k, b}.
+    """
+    room = capacity - j
+    counts[j] -= 1  # the others only
+    have = np.flatnonzero(counts[: room + 1])
+    try:
+        if not len(have):
+            return (j,)
+        k = int(have[-1])
+        if k == room:
+            return j, k
+        small = np.repeat(have[:3], np.minimum(counts[have[:3]], 3))[:3]
+        if len(small) < 2 or small[:2].sum() > room:
+            return j, k
+        if len(small) == 3 and small.sum() <= room:
+            return None
+        if _best_pair(counts, have, room) <= k:
+            return j, k
+        counts[k] -= 1
+        beside = np.flatnonzero(counts[: room - k + 1])
+        counts[k] += 1
+        if not len(beside):
+            return None
+        b = int(beside[-1])
+        return (j, k, b) if _longest_second(counts, have, room) <= b else None
+    finally:
+        counts[j] += 1
+
+
+def _best_pair(counts: np.ndarray, have: np.ndarray, room: int) -> int:
     """The largest sum of two further pieces that fit into room; 0 if none do."""
-    twice = counts[have] - (have == j) >= 2
     best, low, high = 0, 0, len(have) - 1
     while low <= high:
         total = int(have[low] + have[high])
-        if total <= room and (low < high or twice[low]):
-            best = max(best, total)
-            if best == room:
-                break
-            low += 1
-        elif total <= room:
+        if total <= room:
+            if low < high or counts[have[low]] > 1:
+                best = max(best, total)
             low += 1
         else:
             high -= 1
     return best
 
 
+def _longest_second(counts: np.ndarray, have: np.ndarray, room: int) -> int:
+    """The longest that the smaller of two further pieces can be that fit into room."""
+    partner = np.where(counts[have] > 1, have, np.r_[have[1:], room + 1])  # the smallest other piece that isn't smaller
+    fits = have[have + partner <= room]
+    return int(fits[-1]) if len(fits) else 0
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Best-fit decreasing on counts; equal sequences are kept as one pattern with a multiplicity."""
     open_: dict[int, list[Pattern]] = {}
@@ -156,10 +186,11 @@ def slots(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, np
     return {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in rows.items()}
 
 
-def pack(cuts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(cuts: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Pieces (with doc_id, piece, length) with sequence_id and offset; cuts is read several times."""
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = slots(plan(histogram, capacity))
+    salts = salts or max(LEAST_SALTS, sum(histogram.values()) // PIECES_PER_SALT)
     salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -52,7 +52,7 @@ def test_urls(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(df, URL_RULES).collect()}
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: ("com/", "allow"), 5: ("www.example.com/en/", "allow"), 6: ("example.com/en/", "block"), 7: ("com/", "allow"), 8: ("net/es/", "block"), 9: ("net/fr/", "block"), 10: ("com/", "allow")}
     host, path = parts(F.col("url"))
-    split = df.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidates([1, 4]))
+    split = df.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidates([1, 2, 3], [1, 4]))
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in lookup_by_join(split, URL_RULES).collect()} == got
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("pmod(hash(key), 7) = 0")
@@ -503,3 +503,91 @@ def test_quality_of_few_or_no_rows(spark):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     assert Q.classify(docs, labels).count() == 1 and Q.classify(docs.limit(0), labels).count() == 0
     assert Q.accepted(docs.limit(0), None).count() == 0
+
+
+def _fewest(sizes, capacity):
+    """The least number of sequences, over all subsets."""
+    n = len(sizes)
+    total = [sum(sizes[i] for i in range(n) if m >> i & 1) for m in range(1 << n)]
+    best = [0] + [99] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        first, rest = m & -m, m & ~(m & -m)
+        s = rest
+        while True:
+            if total[s | first] <= capacity:
+                best[m] = min(best[m], best[m & ~(s | first)] + 1)
+            if not s:
+                break
+            s = (s - 1) & rest
+    return best[-1]
+
+
+def test_reduction_keeps_the_optimum():
+    from gleaner.llm import packing as P
+
+    r = np.random.default_rng(4)
+    kinds = Counter()
+    for _ in range(250):
+        capacity = int(r.integers(10, 60))
+        sizes = r.integers(1 if r.random() < 0.3 else capacity // 5 + 1, capacity + 1, 9).tolist()
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        fixed = P.reduce_dominated(counts, capacity)
+        kinds.update(len(p.lengths) for p in fixed)
+        rest = np.repeat(np.arange(capacity + 1), counts).tolist()
+        assert sum(p.times for p in fixed) + _fewest(rest, capacity) == _fewest(sizes, capacity), (sizes, capacity, fixed)
+    assert set(kinds) == {1, 2, 3}
+    assert sum(p.times for p in P.plan({72: 1, 71: 1, 20: 1, 9: 4}, 100)) <= 3
+
+
+def test_nearest_takes_one_row_of_a_vec_id(spark):
+    from gleaner.llm.ann import nearest
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(61, 1100))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(61)]
+    df = spark.createDataFrame(rows + [(0, rows[0][1]), (7, [-99.0] * 1100), (50, [math.inf] + [0.0] * 1099)], "vec_id long, embedding array<double>").withColumnRenamed("vec_id", "vec_id")
+    got = nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
+    for q in (0, 20, 40, 60):
+        want = sorted((-math.fsum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in range(61) if i != q)[:20]
+        assert [x["vec_id"] for x in sorted((x for x in got if x["query_id"] == q), key=lambda x: x["rank"])] == [i for _, i in want]
+
+
+def test_sampled_segmentations_against_all_of_them(spark):
+    from itertools import combinations
+    from gleaner.llm import segmentation as S
+
+    seg = S.segmenter(S.MODEL)
+    surface, n = "\u2581then", 5
+    words, known = seg.split(surface), {seg.library.id_to_piece(i): i for i in range(seg.library.get_piece_size())}
+    found = {}
+    for k in range(n):
+        for cuts in combinations(range(1, n), k):
+            at = [0, *cuts, n]
+            pieces = [surface[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            if all(p in known for p in pieces):
+                ids = tuple(known[p] for p in pieces)
+                found[ids] = math.exp(sum(seg.weights[i] for i in ids))
+    total, times, draws = sum(found.values()), Counter(), 20_000
+    for i in range(draws):
+        (ids, lp), *_ = seg.sample(words, 2, np.random.default_rng(i))[0]
+        times[tuple(ids)] += 1
+        assert abs(lp - math.log(found[tuple(ids)] / total)) < 1e-9
+    for ids, p in found.items():
+        p /= total
+        assert abs(times[ids] / draws - p) < 5 * math.sqrt(p * (1 - p) / draws) + 1e-4
+    assert len(seg.sample(words, 999, np.random.default_rng(1))[0]) == len(found)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t != "  \n"], "k int, text string")
+    back = S.decode_ids(S.sample_segmentations(df, ["k"], 2).select("k", "ids"))
+    assert {(r["k"], r["text"]) for r in back.collect()} == {(r["k"], seg.library.decode(seg.library.encode(r["text"] or ""))) for r in df.collect()}
+    assert S.sample_segmentations(df.limit(0), ["k"]).count() == 0 == S.decode_ids(back.limit(0).select("k", "k").toDF("k", "x").selectExpr("k", "array(x) AS ids")).count()
+
+
+def test_long_hosts_and_repeated_pages(spark):
+    from gleaner.llm.queries import URL_RULES
+    from gleaner.llm.urls import judge
+
+    host = "a." * 20_000 + "example.com"
+    rows = [(1, "http://" + host + "/en/x"), (1, "http://" + host + "/en/x"), (2, "http://" + "b" * 100_000 + ".net/fr/"), (3, "http://.com/"), (4, "http://com./")]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id int, url string, host string, keys int").select("page_id", "url", "host", "keys")
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in judge(df, URL_RULES).collect()]
+    assert sorted(got) == [(1, "example.com/en/", "block")] * 2 + [(2, "net/fr/", "block"), (3, "com/", "allow"), (4, None, "allow")]
