@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, is_minified, matches_glob, severity_name, severity_rank
 from ..plans.compile import hit
-from ..plans.model import AllowEntry, Rule, RuleSet, needs_content
+from ..plans.model import AllowEntry, Rule, RuleSet, leaves, needs_content
 
 MAX_FILE_SIZE = 50 * 1024 * 1024
 ARCHIVES = ("zip", "rar", "7z")
@@ -56,13 +58,16 @@ def scan(files: DataFrame, rules: list[Rule] | tuple[Rule, ...] | RuleSet, chunk
     """files with hits: an array in the rules' order. Rules are part of the plan, so no join and no shuffle is needed.
 
     files: name, path, extension, and content if any rule needs it. Minified contents count as empty. Many rules are
-    evaluated in chunks, which keeps generated code within the JIT's limits.
+    evaluated in chunks, which keeps generated code within the JIT's limits. A rule with an expression that isn't one
+    finds nothing (``broken_rules`` names it); the others run.
     """
     rules = rules.rules if isinstance(rules, RuleSet) else rules
     keep = files.columns
+    broken = {name for name, _ in broken_rules(rules)}
     if any(needs_content(r.match) for r in rules):
         files = files.withColumn("raw content", F.col("content")).withColumn("content", F.when(is_minified(F.col("content")), "").otherwise(F.col("content")))
-    parts = [F.array_compact(F.array(*[hit(r, i) for i, r in enumerate(rules[at : at + chunk], at)])) for at in range(0, len(rules), chunk)]
+    good = [(i, r) for i, r in enumerate(rules) if r.name not in broken]
+    parts = [F.array_compact(F.array(*[hit(r, i) for i, r in good[at : at + chunk]])) for at in range(0, len(good), chunk)]
     if not parts:
         parts = [F.array().cast("array<struct<rule_ord:int,rule_name:string,severity:string,match_text:string,match_count:int,target:string,match_texts:array<string>,match_description:string>>")]
     out = files.withColumn("hits", parts[0] if len(parts) == 1 else F.concat(*parts))
@@ -71,6 +76,35 @@ def scan(files: DataFrame, rules: list[Rule] | tuple[Rule, ...] | RuleSet, chunk
     return out.select(*keep, "hits")
 
 
+def broken_rules(rules: list[Rule] | tuple[Rule, ...]) -> list[tuple[str, str]]:
+    """The rules that can't run, and why."""
+    out = []
+    for r in rules:
+        try:
+            for leaf in leaves(r.match):
+                if leaf.mode == "regex":
+                    re.compile(leaf.pattern)
+        except re.error as e:
+            out.append((r.name, str(e)))
+    return out
+
+
+def report_rules(results: DataFrame) -> DataFrame:
+    """rule_name in the order of a report: by the rules' order."""
+    return hits_long(results).groupBy("rule_name").agg(F.min("rule_ord").alias("rule_ord")).orderBy("rule_ord")
+
+
+def speed(stats_: DataFrame) -> DataFrame:
+    """stats with files a second: scanned and unchanged ones, 0 without a duration."""
+    d = F.col("duration_seconds")
+    return stats_.withColumn("speed", F.when(d > 0, (F.col("scanned_files") + F.col("unchanged_files")) / d).otherwise(0.0))
+
+
+def roots_rollup(results: DataFrame) -> DataFrame:
+    """Files, matched files and matches of each root, and of all of them (root null)."""
+    return results.rollup("root").agg(F.count("*").alias("scanned_files"), F.count_if(F.size("hits") > 0).alias("matched_files"), F.sum(total_matches()).alias("total_matches"))
+
+
 def max_severity() -> Column:
     return severity_name(F.coalesce(F.array_max(F.transform("hits", lambda h: severity_rank(h["severity"]))), F.lit(0)))
 
@@ -84,7 +118,8 @@ def rule_names() -> Column:
 
 
 def hits_long(results: DataFrame, *columns: str) -> DataFrame:
-    return results.select(*(columns or ("path",)), F.explode("hits").alias("hit")).select(*(columns or ("path",)), "hit.*")
+    # An outer explode: for an inner one the optimiser puts a filter on the hits below their projection, and rules run twice.
+    return results.select(*(columns or ("path",)), F.explode_outer("hits").alias("hit")).where("hit IS NOT NULL").select(*(columns or ("path",)), "hit.*")
 
 
 def group_by_rule(results: DataFrame) -> DataFrame:
@@ -130,4 +165,9 @@ def allow_listed(results: DataFrame, entries: list[AllowEntry]) -> DataFrame:
             out = out | (matches_glob(path, e.path_glob) & (F.lit(True) if e.rule_name == "*" else h["rule_name"] == e.rule_name))
         return out
 
-    return results.where((F.size("hits") == 0) | ~F.forall("hits", covered)) if entries else results
+    if not entries:
+        return results
+    stays = (F.size("hits") == 0) | ~F.forall("hits", covered)
+    # Through a generator, so that the condition isn't pushed below the hits' projection, where rules would run again.
+    marked = results.select("*", F.explode_outer(F.when(stays, F.array(F.lit(True)))).alias("stays here"))
+    return marked.where("`stays here` IS NOT NULL").drop("stays here")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .model import And, Leaf, Rule, RuleSet
+from collections.abc import Iterable
+from functools import reduce
+
+from .model import And, Leaf, Rule, RuleSet, ScanParams, load_ruleset, merge
 
 _C = "critical"
 
@@ -30,5 +33,15 @@ RULES = (
 )
 
 
+#: What is scanned, and how, unless a rule file says otherwise.
+EXTENSIONS = tuple("txt log pdf docx pptx xlsx xlsm ods odt wps et dps eml xls doc ppt zip rar".split())
+PARAMS = ScanParams(max_workers=5, max_file_size=50 * 1024 * 1024, scan_archives=True, use_cache=True, perf=False)
+
+
 def builtin_ruleset() -> RuleSet:
-    return RuleSet(rules=RULES)
+    return RuleSet(rules=RULES, scan_extensions=EXTENSIONS, scan_params=PARAMS)
+
+
+def load_with_builtin(paths: Iterable[str], builtin: bool = True) -> RuleSet:
+    """The rules that are there without any file (unless builtin is false), then each file's on top, in order."""
+    return reduce(merge, (load_ruleset(p) for p in paths), builtin_ruleset() if builtin else RuleSet())

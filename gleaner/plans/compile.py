@@ -31,11 +31,41 @@ def java_pattern(pattern: str, case_sensitive: bool) -> str | None:
         re.compile(pattern)
     except re.error as e:
         raise ValueError(f"bad regular expression {pattern!r}: {e}") from e
-    if re.search(r"\(\?[^:i)]|\\[1-9AZ]|\[\[|&&|\)[*+{]|\\N|\(\?\(", pattern) or "[^" in pattern and "\\W" in pattern:
+    if re.search(r"\(\?[^:i)]|\\[1-9AZ]|\[\[|&&|\)[*+{]|\\N|\(\?\(", pattern):
         return None
     flags = "iu" if not case_sensitive or "(?i)" in pattern else ""
-    body = pattern.replace("(?i)", "")
-    return f"(?dU{flags})" + body
+    body = _classes(pattern.replace("(?i)", ""))
+    return None if body is None else f"(?dU{flags})" + body
+
+
+#: What Python's classes hold of all characters, in Java's terms: words are letters, numbers and _, white space has four separators more.
+_WORD, _WHITE = r"\p{L}\p{N}_", r"\s\x1c-\x1f"
+_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+_INSIDE = f"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
+
+
+def _classes(pattern: str) -> str | None:
+    """\\w \\W \\s \\S \\b \\B spelt out; None for what can't be said within a set."""
+    outside = {"w": f"[{_WORD}]", "W": f"[^{_WORD}]", "s": f"[{_WHITE}]", "S": f"[^{_WHITE}]", "b": _EDGE, "B": _INSIDE}
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\" and at + 1 < len(pattern):
+            e = pattern[at + 1]
+            if inside and e in "WSbB":
+                return None
+            out.append({"w": _WORD, "s": _WHITE}.get(e, c + e) if inside else outside.get(e, c + e))
+            at += 2
+            continue
+        if c == "[" and not inside:
+            inside = True
+            if pattern[at + 1 : at + 2] == "]" or pattern[at + 1 : at + 3] == "^]":  # a bracket that is a member
+                return None
+        elif c == "]":
+            inside = False
+        out.append(c)
+        at += 1
+    return "".join(out)
 
 
 class Parts(NamedTuple):

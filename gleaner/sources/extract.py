@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator
 from email import policy
 from email.parser import BytesParser
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -142,45 +145,101 @@ def extract(extension: str, raw: bytes, in_archive: bool = False) -> str:
     return decode(raw) if in_archive or extension in PLAIN or extension in SOURCE else ""
 
 
-def _extract_all(extension: pd.Series, raw: pd.Series) -> pd.Series:
-    return pd.Series([extract(e or "", bytes(r)) if r is not None else "" for e, r in zip(extension, raw, strict=True)])
+def extract_text(extension: Column, raw: Column, extra: dict[str, Callable[[bytes], str]] | None = None) -> Column:
+    """The text of files; ``extra``: further extractors by extension, before the known ones."""
+    own = {k.lower().lstrip("."): f for k, f in (extra or {}).items()}
+
+    def one(extension: str, raw: bytes) -> str:
+        try:
+            return own[extension.lower()](raw) if extension.lower() in own else extract(extension, raw)
+        except Exception:  # noqa: BLE001  any broken file
+            return raw.decode("utf-8", "ignore")
+
+    def run(extension: pd.Series, raw: pd.Series) -> pd.Series:
+        return pd.Series([one(e or "", bytes(r)) if r is not None else "" for e, r in zip(extension, raw, strict=True)])
+
+    return F.pandas_udf(run, T.StringType())(extension, raw)
+
+
+class Entry(NamedTuple):
+    """A file in an archive: its name there, size, time, and how to read it."""
+
+    name: str
+    size: int
+    mtime: float
+    read: Callable[[], bytes]
+
+
+def _zip(raw: bytes, password: str | None) -> Iterator[Entry]:
+    z = zipfile.ZipFile(io.BytesIO(raw))
+    for e in z.infolist():
+        if not e.is_dir():
+            yield Entry(e.filename, e.file_size, dt.datetime(*e.date_time).timestamp(), lambda e=e: z.read(e, password.encode() if password else None))
 
 
-def extract_text(extension: Column, raw: Column) -> Column:
-    return F.pandas_udf(_extract_all, T.StringType())(extension, raw)
+def _rar(raw: bytes, password: str | None) -> Iterator[Entry]:
+    import rarfile
 
+    r = rarfile.RarFile(io.BytesIO(raw))
+    for e in r.infolist():
+        if not e.is_dir():
+            yield Entry(e.filename, e.file_size, e.mtime.timestamp() if e.mtime else 0.0, lambda e=e: r.read(e, password))
 
-def archive_entries(archives: DataFrame, extensions: tuple[str, ...] | None = None, most: int = 5000, most_bytes: int = 50 << 20) -> DataFrame:
-    """A row per entry of zip archives (path, raw): path 'archive!inner', name, extension, size, archive_path, content, errors.
 
-    One that can't be opened, or has more entries than ``most``, gives a row with errors 1. Nested archives aren't opened.
+def _seven(raw: bytes, password: str | None) -> Iterator[Entry]:
+    import py7zr
+
+    with py7zr.SevenZipFile(io.BytesIO(raw), password=password) as z:
+        held = {e.filename: e for e in z.list() if not e.is_directory}
+        data = z.read(list(held))
+    for name, e in held.items():
+        yield Entry(name, e.uncompressed, e.creationtime.timestamp() if e.creationtime else 0.0, lambda name=name: data[name].read())
+
+
+#: Readers of archives by extension: (bytes, password) to entries. rar and 7z need rarfile and py7zr; without them such archives give an error row.
+READERS: dict[str, Callable[[bytes, str | None], Iterator[Entry]]] = {"zip": _zip, "rar": _rar, "7z": _seven}
+
+
+def is_archive(path: Column) -> Column:
+    return F.lower(F.element_at(F.split(path, r"\."), -1)).isin(sorted(READERS))
+
+
+def archive_entries(archives: DataFrame, extensions: tuple[str, ...] | None = None, most: int = 5000, most_bytes: int = 50 << 20, password: str | None = None, readers: dict[str, Callable] | None = None) -> DataFrame:
+    """A row per entry of archives (path, raw): path 'archive!inner', name, extension, size, archive_path, content, errors, inner_path, mtime.
+
+    The reader goes by the path's extension, zip where it has none; ``readers`` adds to READERS or replaces them. An archive
+    that can't be opened, or has more entries than ``most``, gives a row with errors 1. Nested archives aren't opened.
     """
+    known = READERS | (readers or {})
+    names = ["path", "name", "extension", "size", "archive_path", "content", "errors", "inner_path", "mtime"]
+
+    def failed(path: str) -> tuple:
+        return path, path.rpartition("/")[2], "", 0, path, "", 1, None, None
 
     def rows(path: str, raw: bytes):
+        reader, made = known.get(path.rpartition(".")[2].lower(), known["zip"]), 0
         try:
-            entries = [e for e in zipfile.ZipFile(io.BytesIO(raw)).infolist() if not e.is_dir()]
-        except (zipfile.BadZipFile, OSError):
-            yield path, path.rpartition("/")[2], "", 0, path, "", 1
-            return
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            for i, e in enumerate(entries):
-                if i >= most:
-                    yield path, path.rpartition("/")[2], "", 0, path, "", 1
+            for e in reader(raw, password):
+                if made >= most:
+                    yield failed(path)
                     return
-                name = e.filename.replace("\\", "/").rpartition("/")[2]
+                made += 1
+                name = e.name.replace("\\", "/").rpartition("/")[2]
                 own = name.rpartition(".")[2].lower() if "." in name else ""
                 if extensions is not None and own not in extensions:
                     continue
                 try:
-                    data = z.read(e) if e.file_size <= most_bytes else b""
-                except (zipfile.BadZipFile, RuntimeError, OSError):
+                    data = e.read() if e.size <= most_bytes else b""
+                except Exception:  # noqa: BLE001  a broken or locked entry: the libraries' errors have no common class
                     data = b""
-                yield f"{path}!{e.filename}", name, own, e.file_size, path, extract(own, data, True), 0
+                yield f"{path}!{e.name}", name, own, e.size, path, extract(own, data, True), 0, e.name, e.mtime
+        except Exception:  # noqa: BLE001  as above, of the archive itself, or no library for it
+            yield failed(path)
 
     def run(batches):
-        names = ["path", "name", "extension", "size", "archive_path", "content", "errors"]
         for batch in batches:
             for path, raw in zip(batch["path"], batch["raw"], strict=True):
                 yield pd.DataFrame(list(rows(path, bytes(raw or b""))), columns=names)
 
-    return archives.select("path", "raw").mapInPandas(run, "path string, name string, extension string, size long, archive_path string, content string, errors int")
+    schema = "path string, name string, extension string, size long, archive_path string, content string, errors int, inner_path string, mtime double"
+    return archives.select("path", "raw").mapInPandas(run, schema)
