@@ -92,3 +92,25 @@ def perf_diffs(current: DataFrame, baseline: DataFrame, least_percent: float) ->
 def merge_rules(base: DataFrame, over: DataFrame) -> DataFrame:
     """Rule tables by name: the base's without those that over has, then over's."""
     return base.join(over.select("name"), "name", "left_anti").unionByName(over)
+
+
+def slowest_by_extension(files: DataFrame) -> DataFrame:
+    """Per extension: files, total time, the slowest file and its time; the last by path among equals."""
+    most = F.max(F.struct("total_ms", "path"))
+    out = files.groupBy("extension").agg(F.count("*").alias("files"), F.sum("total_ms").alias("total_ms"), most.alias("most"))
+    return out.select("extension", "files", "total_ms", F.col("most.path").alias("slowest"), F.col("most.total_ms").alias("max_ms"))
+
+
+def import_entries(held: DataFrame, more: DataFrame) -> DataFrame:
+    """held, and of more what held doesn't name yet by (path_glob, rule_name)."""
+    keys = ["path_glob", "rule_name"]
+    return held.unionByName(more.dropDuplicates(keys).join(held.select(*keys), keys, "left_anti"))
+
+
+def one_per_path(files: DataFrame) -> DataFrame:
+    return files.dropDuplicates(["path"])
+
+
+def compare_names(now: Column, before: Column) -> tuple[Column, Column]:
+    """Sorted names that are new, and that are gone."""
+    return F.array_sort(F.array_except(now, before)), F.array_sort(F.array_except(before, now))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import report, scan, state
+from .operators import cache, report, scan, state, stores
+from .plans import templates
 from .plans.builtin import RULES
 from .plans.compile import column, python_match
 from .plans.model import AllowEntry, And, Leaf, Not, Or, Rule, Spec
@@ -370,3 +371,146 @@ def archive_entries_scan(spark, sf_dir):
 
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
     return archive_entries(c.mapInPandas(pack, "path string, raw binary")).select("path", "content", "errors")
+
+
+# Incremental runs, caches and roll-ups.
+
+
+@query(f"WITH {DOCS_SQL}, x AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE size END AS own FROM d) SELECT path AS rel_path, 1.0 AS mtime, own AS size FROM x WHERE own > 0 AND own <= 9000 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0")
+def manifest_build(spark, sf_dir):
+    kept = _flawed(spark, sf_dir).where(scan.removal_reason(9000).isNull())
+    return stores.build_manifest(kept.select(F.col("path").alias("rel_path"), F.lit(1.0).alias("mtime"), "size"))
+
+
+@query(_hits_sql() + f", {_DIFF} SELECT h.path, h.rule_name, CASE WHEN s.status = 'unchanged' THEN 'old' ELSE 'fresh' END AS origin FROM h JOIN s ON h.path = s.path WHERE s.status <> 'deleted'")
+def incremental_scan(spark, sf_dir):
+    """Only new and changed files are scanned; the hits of unchanged ones come from the run before."""
+    now, before = _states(spark, sf_dir)
+    diff = state.manifest_diff(now, before)
+    todo = diff.where("status IN ('new', 'changed')").select("path")
+    fresh = scan.hits_long(scan.scan(files(spark, sf_dir).join(todo, "path", "left_semi"), DEMO)).select("path", "rule_name", F.lit("fresh").alias("origin"))
+    old = scan.hits_long(results(spark, sf_dir).join(before.select("path"), "path", "left_semi")).select("path", "rule_name", F.lit("old").alias("origin"))
+    return state.merge_unchanged(fresh, old, diff)
+
+
+def _cache_tables(spark, sf_dir):
+    f = files(spark, sf_dir).select("path", F.lit(1.0).alias("mtime"), "size", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("file_hash"))
+    paths = f.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, 2.0).otherwise(1.0).alias("mtime"), "file_hash")
+    known = f.where("doc_id % 7 <> 0").select("file_hash", (F.col("size") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("size"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 100).cast("int")), "yyyy-MM-dd").alias("scanned_at"), "doc_id")
+    return f, paths, known
+
+
+@query(f"WITH {DOCS_SQL} SELECT path, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 4 <> 0) THEN sha256(CAST(doc_id AS VARCHAR)) END AS file_hash FROM d")
+def cache_by_path(spark, sf_dir):
+    f, paths, known = _cache_tables(spark, sf_dir)
+    return cache.hashes_of(f.select("path", "mtime", "size"), paths, known).select("path", "file_hash")
+
+
+@query("SELECT doc_id, rule_hash FROM (SELECT doc_id, concat('r', doc_id % 6) AS rule_hash FROM documents) WHERE rule_hash IN ('r0', 'r2', 'r4')")
+def prune_orphans(spark, sf_dir):
+    held = files(spark, sf_dir).select("doc_id", F.concat(F.lit("r"), F.col("doc_id") % 6).alias("rule_hash"))
+    return cache.prune_orphan_rules(held, spark.createDataFrame([("r0",), ("r2",), ("r4",), ("r9",)], "rule_hash string"))
+
+
+@query("WITH k AS (SELECT * FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 100 >= 40) SELECT 'files' AS table_name, count(*) AS rows FROM k UNION ALL SELECT 'paths', count(*) FILTER (doc_id % 3 <> 0) FROM k UNION ALL SELECT 'results', count(*) FROM k UNION ALL SELECT 'contents', count(*) FROM k")
+def prune_stale_counts(spark, sf_dir):
+    f, paths, known = _cache_tables(spark, sf_dir)
+    hashes = f.select("file_hash")
+    return cache.counts(cache.prune_stale({"files": known, "paths": paths, "results": hashes, "contents": hashes}, "2024-02-10"))
+
+
+@query("SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY text) % 2 = 0 THEN 'cached' ELSE concat('read ', text) END AS content FROM documents")
+def extract_once(spark, sf_dir):
+    """The cached text of a hash, else the extracted one; each hash is extracted once."""
+    d = files(spark, sf_dir).select("doc_id", "content", F.sha2("content", 256).alias("file_hash"))
+    held = d.groupBy("file_hash").agg(F.min("doc_id").alias("k")).where("k % 2 = 0").select("file_hash", F.lit("cached").alias("content"))
+    found = cache.with_texts(d.withColumnRenamed("content", "raw"), held, F.concat(F.lit("read "), "raw"))
+    return found.select("doc_id", "content")
+
+
+@query(_hits_sql() + "SELECT regexp_extract(path, '^([^/]*)', 1) AS root, count(*) AS scanned_files, count(*) FILTER (n > 0) AS matched_files, CAST(sum(total) AS BIGINT) AS total_matches FROM f GROUP BY ROLLUP (root)")
+def roots_rollup(spark, sf_dir):
+    return scan.roots_rollup(results(spark, sf_dir).withColumn("root", F.regexp_extract("path", "^([^/]*)", 1)))
+
+
+@query(_hits_sql() + "SELECT rule_name, min(ord) AS rule_ord FROM h GROUP BY rule_name")
+def report_rules(spark, sf_dir):
+    return scan.report_rules(results(spark, sf_dir))
+
+
+@query(f"WITH {DOCS_SQL} SELECT regexp_extract(path, '([^/]*)/[^/]*$', 1) AS extension, count(*) AS files, CAST(sum(size) AS DOUBLE) AS total_ms, arg_max(path, (size, path)) AS slowest, CAST(max(size) AS DOUBLE) AS max_ms FROM d GROUP BY ALL")
+def perf_slowest_by_extension(spark, sf_dir):
+    f = files(spark, sf_dir).select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("extension"), "path", F.col("size").cast("double").alias("total_ms"))
+    return state.slowest_by_extension(f)
+
+
+@query(f"WITH {DOCS_SQL}, t AS (SELECT path, [regexp_extract(content, '{EMAIL}'), regexp_extract(content, '[0-9]+'), regexp_extract(content, '{IPV4}')] AS x FROM d) SELECT path, concat_ws('|', nullif(x[1], ''), nullif(x[2], ''), CASE WHEN x[3] <> '' AND x[3] <> x[2] THEN x[3] END) AS texts FROM t WHERE x[1] <> '' OR x[2] <> '' OR x[3] <> ''")
+def match_texts_ordered_distinct(spark, sf_dir):
+    """The first text of each predicate that hit, in the predicates' order, each once."""
+    spec = Or(tuple(Leaf("content", "regex", p, True) for p in (EMAIL, "[0-9]+", IPV4)))
+    f = files(spark, sf_dir).withColumn("content", F.when(T.is_minified(F.col("content")), "").otherwise(F.col("content")))
+    return f.select("path", column(spec).alias("m")).where("m.matched").select("path", F.array_join("m.match_texts", "|").alias("texts"))
+
+
+_ALLOWED = "WITH a AS (SELECT concat('p', doc_id % 50) AS path_glob, '*' AS rule_name FROM documents GROUP BY ALL), b AS (SELECT concat('p', doc_id % 80) AS path_glob, '*' AS rule_name FROM documents GROUP BY ALL)"
+
+
+@query(_ALLOWED + " SELECT path_glob, rule_name, 'old' AS source FROM a UNION ALL SELECT path_glob, rule_name, 'new' FROM b WHERE path_glob NOT IN (SELECT path_glob FROM a)")
+def whitelist_import(spark, sf_dir):
+    ids = files(spark, sf_dir)
+    held, more = (ids.select(F.concat(F.lit("p"), F.col("doc_id") % n).alias("path_glob"), F.lit("*").alias("rule_name")).distinct().withColumn("source", F.lit(s)) for n, s in ((50, "old"), (80, "new")))
+    return state.import_entries(held, more)
+
+
+@query("SELECT o_custkey AS workspace_id, CAST(sum(o_totalprice) AS DOUBLE) AS duration_seconds, count(*) AS scanned_files, 0 AS unchanged_files, count(*) / CAST(sum(o_totalprice) AS DOUBLE) AS speed FROM orders GROUP BY ALL")
+def scan_speed(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    runs = o.groupBy(F.col("o_custkey").alias("workspace_id")).agg(F.sum("o_totalprice").alias("duration_seconds"), F.count("*").alias("scanned_files")).withColumn("unchanged_files", F.lit(0))
+    return scan.speed(runs)
+
+
+def _planted(spark, sf_dir):
+    """The documents with a secret of one kind or another behind their text."""
+    h = F.upper(F.sha2(F.col("doc_id").cast("string"), 256))
+    kinds = [(3, F.concat(F.lit(" AKIA"), F.substring(h, 1, 16))), (5, F.concat(F.lit("\npassword = "), h)), (7, F.concat(F.lit(" ghp_"), F.substring(h, 1, 40))), (11, F.lit("\n-----BEGIN RSA PRIVATE KEY-----"))]
+    more = F.concat(*[F.when(F.col("doc_id") % n == 0, x).otherwise("") for n, x in kinds])
+    return files(spark, sf_dir).withColumn("content", F.concat("content", more))
+
+
+def _planted_sql(rules) -> str:
+    h = "upper(sha256(CAST(doc_id AS VARCHAR)))"
+    kinds = [(3, f"concat(' AKIA', substr({h}, 1, 16))"), (5, f"concat(chr(10), 'password = ', {h})"), (7, f"concat(' ghp_', substr({h}, 1, 40))"), (11, "concat(chr(10), '-----BEGIN RSA PRIVATE KEY-----')")]
+    text = "concat(text, " + ", ".join(f"CASE WHEN doc_id % {n} = 0 THEN {x} ELSE '' END" for n, x in kinds) + ")"
+    d = f"p AS (SELECT *, {text} AS t FROM documents), d AS (SELECT concat(source, '/', lang, '/', doc_id, '.txt') AS path, concat(doc_id, '.txt') AS name, CASE WHEN length(t) >= 2048 AND list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) >= 5000 THEN '' ELSE t END AS content FROM p)"
+    parts = []
+    for r in rules:
+        m, n = sql_spec(r.match)
+        parts.append(f"SELECT path, {_q(r.name)} AS rule_name, {_q(r.severity)} AS severity, CAST({n} AS INTEGER) AS match_count FROM d WHERE {m}")
+    return f"WITH {d} " + " UNION ALL ".join(parts)
+
+
+@query(_planted_sql(RULES))
+def builtin_scan_planted(spark, sf_dir):
+    return scan.hits_long(scan.scan(_planted(spark, sf_dir), RULES)).select("path", "rule_name", "severity", "match_count")
+
+
+_COMPLIANCE = templates.template("compliance_scan").rules
+
+
+@query(f"SELECT rule_name, severity, count(DISTINCT path) AS files, CAST(sum(match_count) AS BIGINT) AS matches FROM ({_planted_sql(_COMPLIANCE)}) GROUP BY ALL")
+def template_scan_planted(spark, sf_dir):
+    return scan.group_by_rule(scan.scan(_planted(spark, sf_dir), _COMPLIANCE))
+
+
+@query("SELECT path, any_value(size) AS size FROM (SELECT concat('f', doc_id % 500) AS path, 1 AS size FROM documents) GROUP BY path")
+def duplicate_paths(spark, sf_dir):
+    return state.one_per_path(files(spark, sf_dir).select(F.concat(F.lit("f"), F.col("doc_id") % 500).alias("path"), F.lit(1).alias("size")))
+
+
+@query("WITH r AS (SELECT o_custkey AS workspace_id, list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderkey % 2 = 0))) AS a, list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderkey % 2 = 1))) AS b FROM orders GROUP BY ALL) SELECT workspace_id, array_to_string(list_sort([x for x in coalesce(a, []) if NOT list_contains(coalesce(b, []), x)]), ',') AS new_rules, array_to_string(list_sort([x for x in coalesce(b, []) if NOT list_contains(coalesce(a, []), x)]), ',') AS dropped_rules FROM r")
+def compare_rules(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    names = lambda odd: F.collect_set(F.when(F.col("o_orderkey") % 2 == odd, F.col("o_orderpriority")))
+    runs = o.groupBy(F.col("o_custkey").alias("workspace_id")).agg(names(0).alias("now"), names(1).alias("before"))
+    fresh, gone = state.compare_names(F.col("now"), F.col("before"))
+    return runs.select("workspace_id", F.array_join(fresh, ",").alias("new_rules"), F.array_join(gone, ",").alias("dropped_rules"))
