@@ -13,16 +13,14 @@ import os
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-
-
 #: Chunks kept by a worker; beyond that it keeps those that came up again, which bounds its memory.
-MOST_CHUNKS = 350_000
+MOST_CHUNKS = 1_000_000
 #: White space as the vocabularies' patterns know it, without the space itself.
 _WHITE = "\\t\\n\\x0b\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
 _MEETS = f"[ {_WHITE}][ {_WHITE}]|^[ {_WHITE}]|[ {_WHITE}]$"
@@ -106,9 +104,11 @@ class Encoder:
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """Numbers of the chunks (all different) in the store; encodes those that aren't there yet."""
-        fresh = [c for c in chunks if c not in self.known]
+        out = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(out < 0)
+        out[missing] = np.arange(len(missing)) + len(self.known)
+        fresh = [chunks[i] for i in missing.tolist()]
         self._store(fresh, *self._encode(fresh))
-        out = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         self.uses[out] += 1
         return out
 
@@ -135,13 +135,11 @@ class Encoder:
             if "\n" in words:
                 lines = np.flatnonzero(codes == words.index("\n"))
                 first[lines] = first[lines + 1] = True
-            first = first[:-1]
-            place = np.empty(len(codes), np.int64)
-            for own, lead in ((first, ""), (~first, " ")):
-                there, of = np.zeros(len(words), bool), np.empty(len(words), np.int64)
-                there[codes[own]] = True
-                of[there] = self._places([lead + words[c] for c in np.flatnonzero(there)])
-                place[own] = of[codes[own]]
+            key = codes * 2 + first[:-1]
+            there, of = np.zeros(2 * len(words), bool), np.empty(2 * len(words), np.int64)
+            there[key] = True
+            of[there] = self._places([words[c >> 1] if c & 1 else " " + words[c >> 1] for c in np.flatnonzero(there).tolist()])
+            place = of[key]
         else:
             place = self._places(words)[codes]
         size, start = self.size[place].astype(np.int64), self.start[place]
