@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .arrays import pieces as slices
 from .common import materialise
-from .tokens import encoder
+from .tokens import MOST_CHUNKS, encoder
 
 CAPACITY = 4096
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -33,12 +33,12 @@ VOCABULARY, END = "word_bpe_49k.json", 1
 PIECES_PER_SALT, LEAST_SALTS = 200_000, 64
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, added: bool = False) -> DataFrame:
+def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            ids, at = encoder(vocabulary, added).encode(batch.column("text"), end)
+            ids, at = encoder(vocabulary, added, most).encode(batch.column("text"), end)
             size = np.diff(at)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), n)
@@ -215,7 +215,10 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY, salts: int | None = None) ->
     return ranked.mapInArrow(place, schema)
 
 
-def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(cut(docs, capacity, added=added)), capacity)
+def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A worker keeps ``most`` chunks of text with their ids; that is a matter of memory and time only.
+    """
+    return pack(materialise(cut(docs, capacity, added=added, most=most)), capacity)
 

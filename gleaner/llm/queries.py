@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann, exact, minhash, packing, quality, repeats, segmentation, tokenbin, urls
 from .common import read
 
+#: Chunks of text that a worker of op5 and op6 keeps: some 200 MB.
+CHUNKS = 1_000_000
+
 #: Fixed values of the query op1: (host, path, verdict).
 URL_RULES = [
     urls.UrlRule("com", "/", "allow"),
@@ -36,11 +39,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True)
+    return packing.best_fit_pack(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True, most=CHUNKS)
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.read_ids(tokenbin.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True))
+    return tokenbin.read_ids(tokenbin.write_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), added=True, most=CHUNKS))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

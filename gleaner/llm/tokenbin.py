@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .arrays import pieces
 from .common import materialise
-from .tokens import encoder
+from .tokens import MOST_CHUNKS, encoder
 
 BLOCK = 240
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -128,14 +128,17 @@ def read_frame(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], unpack_words(out[3], out[2], out[4], n)
 
 
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 8 << 20, added: bool = False) -> DataFrame:
-    """The frames of docs (doc_id, text) as a DataFrame over the files written: shard, frame, ids, payload."""
+def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 8 << 20, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
+    """The frames of docs (doc_id, text) as a DataFrame over the files written: shard, frame, ids, payload.
+
+    A worker keeps ``most`` chunks of text with their ids; that is a matter of memory and time only.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         for frame, batch in enumerate(pieces(batches, "text", frame_bytes)):
-            ids, at = encoder(vocabulary, added).encode(batch.column("text"), end)
+            ids, at = encoder(vocabulary, added, most).encode(batch.column("text"), end)
             names = batch.column("doc_id").fill_null(_NULL).to_numpy()
             yield _row(shard, frame, len(ids), write_frame(names, np.diff(at), ids))
 

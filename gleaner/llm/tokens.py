@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept by a worker; beyond that it keeps those that came up again, which bounds its memory.
-MOST_CHUNKS = 1_000_000
+#: Chunks kept by a worker, some 200 bytes each; beyond that it keeps those that came up again, which bounds its memory.
+#: A job of several stages leaves them in its workers, so more are kept only where a query has the workers for itself.
+MOST_CHUNKS = 350_000
 #: White space as the vocabularies' patterns know it, without the space itself.
 _WHITE = "\\t\\n\\x0b\\f\\r\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}"
 _MEETS = f"[ {_WHITE}][ {_WHITE}]|^[ {_WHITE}]|[ {_WHITE}]$"
@@ -43,11 +44,11 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = False, most: int = MOST_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = not added
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaced = "use_regex" in (kind := self.tokenizer.pre_tokenizer.__repr__()) and "Split" not in kind
@@ -65,7 +66,7 @@ class Encoder:
         again = [c for c, i in self.known.items() if self.uses[i] > 1]
         known, ids, start, size = self.known, self.ids, self.start, self.size
         self._clear()
-        if 0 < len(again) < MOST_CHUNKS // 2:
+        if 0 < len(again) < self.most // 2:
             old = np.fromiter((known[c] for c in again), np.int64, len(again))
             self._store(again, ids[ranges(start[old], size[old])], size[old])
 
@@ -114,7 +115,7 @@ class Encoder:
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the offset of each; ``end`` is appended to each text. Null counts as empty."""
-        if len(self.known) > MOST_CHUNKS:
+        if len(self.known) > self.most:
             self._shrink()
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         n = len(texts)
@@ -162,13 +163,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str, added: bool = False) -> Encoder:
+def encoder(name: str, added: bool = False, most: int = MOST_CHUNKS) -> Encoder:
     """One encoder of a vocabulary for each worker process."""
-    return Encoder(vocabulary(name) if "/" not in name else name, added)
+    return Encoder(vocabulary(name) if "/" not in name else name, added, most)
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-__all__ = ["Encoder", "crc", "encoder", "vocabulary"]
+__all__ = ["MOST_CHUNKS", "Encoder", "crc", "encoder", "vocabulary"]
