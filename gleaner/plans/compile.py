@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import chain
+from re import _constants as _op, _parser
 from typing import NamedTuple
 
 import pandas as pd
@@ -68,6 +71,55 @@ def _classes(pattern: str) -> str | None:
     return "".join(out)
 
 
+#: Characters beyond ASCII that equal i, k or s where case is ignored, and that the lower case of a text needn't show.
+_LIKE_ASCII = "\u0130\u0131\u017f\u212a"
+LEAST_LITERAL, MOST_LITERALS = 2, 12
+
+
+def required_literals(pattern: str, case_sensitive: bool) -> tuple[str, ...]:
+    """Texts of which at least one is part of whatever the expression matches; () where that can't be told.
+
+    In lower case if the expression ignores case: then the lower case of a matching text holds one of them, or the text
+    has one of the characters of _LIKE_ASCII.
+    """
+    tree = _parser.parse(pattern, 0 if case_sensitive else re.IGNORECASE)
+    found = _needed(tree, bool(tree.state.flags & re.IGNORECASE))
+    return found if found and len(found) <= MOST_LITERALS and min(map(len, found)) >= LEAST_LITERAL else ()
+
+
+def _needed(nodes, fold: bool) -> tuple[str, ...]:
+    """Of all parts that a match must have, the one whose shortest literal is longest."""
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, arg in [*nodes, (None, None)]:
+        c = chr(arg) if op is _op.LITERAL else ""
+        if c and (not fold or c.isascii() or c.lower() == c.upper()):
+            run += c.lower() if fold else c
+            continue
+        found += [(run,)] if run else []
+        run = ""
+        if op is _op.SUBPATTERN and not arg[1] and not arg[2]:  # no flags of its own
+            found.append(_needed(arg[3], fold))
+        elif op in (_op.MAX_REPEAT, _op.MIN_REPEAT) and arg[0] > 0:
+            found.append(_needed(arg[2], fold))
+        elif op is _op.BRANCH:
+            ways = [_needed(way, fold) for way in arg[1]]
+            found.append(tuple(dict.fromkeys(chain(*ways))) if all(ways) else ())
+    return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=())
+
+
+def _guarded(count: Column, t: Column, pattern: str, case_sensitive: bool) -> Column:
+    """The count of matches, taken only in texts that hold a literal which the expression needs."""
+    literals = required_literals(pattern, case_sensitive)
+    if not literals:
+        return count
+    fold = not case_sensitive or "(?i)" in pattern
+    may = [F.contains(F.lower(t) if fold else t, F.lit(x)) for x in literals]
+    may += [F.contains(t, F.lit(c)) for c in _LIKE_ASCII] if fold else []
+    may = reduce(Column.__or__, may)
+    return F.when(may, count).otherwise(0)
+
+
 class Parts(NamedTuple):
     """A match's fields as expressions of their own: as fields of nested structs, trees of rules would grow exponentially."""
 
@@ -88,9 +140,11 @@ def _leaf(leaf: Leaf) -> Parts:
                 m = python_match(leaf)
                 return Parts(*[m[f] for f in Parts._fields])
             count, text = F.regexp_count(t, F.lit(expression)), F.coalesce(F.regexp_substr(t, F.lit(expression)), F.lit(""))
+            count = _guarded(count, t, leaf.pattern, leaf.case_sensitive)
         else:
             expression = ("" if leaf.case_sensitive else "(?iu)") + "\\Q" + leaf.pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
             count, text = F.regexp_count(t, F.lit(expression)), F.lit(leaf.pattern)
+            count = _guarded(count, t, re.escape(leaf.pattern), leaf.case_sensitive)
         hit = count > 0
     else:
         p = F.lit(leaf.pattern if leaf.case_sensitive else leaf.pattern.lower())
@@ -146,4 +200,4 @@ def hit(rule: Rule, order: int) -> Column:
     return out if only is None else F.when(F.lower(F.col("extension")).isin(sorted(only)), out)
 
 
-__all__ = ["MATCH", "column", "hit", "java_pattern", "python_match"]
+__all__ = ["MATCH", "column", "hit", "java_pattern", "python_match", "required_literals"]

@@ -173,3 +173,26 @@ def test_rules_run_once(spark):
     for plan in (scan.group_by_rule(out), scan.allow_listed(out, [AllowEntry("x")])):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("regexp_count") <= 4 and "Filter (size(" not in text, text
+
+
+def test_literals_that_a_match_needs(spark):
+    from gleaner.plans.builtin import RULES
+    from gleaner.plans.compile import column, required_literals
+    from gleaner.plans.model import Leaf, leaves
+
+    assert required_literals("AKIA[0-9A-Z]{16}", True) == ("AKIA",)
+    assert required_literals("ab+c|de", True) == () and required_literals("(?:abc|de)x*", True) == ("abc", "de")
+    assert required_literals("(?i)TOKEN", True) == ("token",) and required_literals("\u4ef7\u683c|d\u00eesk", False) == ("\u4ef7\u683c", "sk")
+    assert required_literals("(?:abc)?", True) == required_literals("(?i:abc)", True) == required_literals("a*", True) == required_literals("", True) == ()
+    assert required_literals("x(abc){2,}y", True) == ("abc",)
+    assert any(required_literals(x.pattern, x.case_sensitive) for r in RULES for x in leaves(r.match) if x.mode == "regex")
+    patterns = [(r"(?i)to\u212aen", True), ("token", False), ("ma\u017fk|pa+rt", False), ("ma[sk]+|PART", False), (r"(?:pass(?:word|wd)|pwd)\s*=", False), ("(ab)+c?", True), ("na\u00efve", False), (r"a\.b", False)]
+    texts = ["TO\u212aEN token", "ma\u017fk MASK", "PWD = 1, passwd=2, Pa\u017fsword =3", "ababc AB", "NA\u00cfVE na\u00efve", "A.B aXb", "paart PART", "", "\u0130\u0131 part"]
+    df = spark.createDataFrame([(str(i), "p", t) for i, t in enumerate(texts)], "name string, path string, content string")
+    for p, sensitive in patterns:
+        expected = re.compile(p, 0 if sensitive else re.I)
+        for r in df.select("name", column(Leaf("content", "regex", p, sensitive)).alias("m")).collect():
+            assert r["m"]["match_count"] == len(expected.findall(texts[int(r["name"])])), (p, texts[int(r["name"])])
+    for p in ("token", "MASK", "a.b", "PWD", "na\u00cfve"):
+        for r in df.select("name", column(Leaf("content", "contains", p)).alias("m")).collect():
+            assert r["m"]["match_count"] == len(re.findall(re.escape(p), texts[int(r["name"])], re.I)), (p, texts[int(r["name"])])
