@@ -97,8 +97,8 @@ def _predicate(name: str, spec: Spec) -> None:
 
 _LEAVES = {
     "filename": {"contains": "9.t", "equals": "17.TXT", "startswith": "12", "endswith": "3.TXT", "regex": r"^[0-9]7.*\.txt"},
-    "path": {"contains": "/EN/", "equals": "src3/en/3.txt", "startswith": "SRC1", "endswith": "/33.txt", "regex": r"src[0-4]/(de|fr)/"},
-    "content": {"contains": "license", "equals": "the", "startswith": "The", "endswith": "the.", "regex": EMAIL},
+    "path": {"contains": "/EN/", "equals": "SRC14/de/974.txt", "startswith": "SRC1", "endswith": "/33.txt", "regex": r"src[0-4]/(de|fr)/"},
+    "content": {"contains": "license", "equals": "VON.", "startswith": "The", "endswith": "the.", "regex": EMAIL},
 }
 for _target, _modes in _LEAVES.items():
     for _mode, _pattern in _modes.items():
