@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, exact, minhash, packing, quality, repeats, segmentation, tokenbin, urls
 from .common import read
@@ -25,9 +26,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every turn of the conversations."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return segmentation.sample_segmentations(rows, ["conv_id", "turn"], k=2).drop("ids")
+    """Two sampled segmentations of every document (doc_id) and of every turn of the conversations (conv_id, turn)."""
+    docs = segmentation.sample_segmentations(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], k=2)
+    turns = segmentation.sample_segmentations(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], k=2)
+    both = docs.withColumn("source", F.lit("documents")).unionByName(turns.withColumn("source", F.lit("conversations")), allowMissingColumns=True)
+    names = ["source", "doc_id", "conv_id", "turn"]
+    return both.select(*names, *[c for c in docs.columns if c not in (*names, "ids")])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
