@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .arrays import pieces
 from .common import materialise
-from .tokens import MOST_CHUNKS, encoder
+from .tokens import MOST_CHUNKS, encoder, forget
 
 BLOCK = 240
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -128,10 +128,11 @@ def read_frame(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], unpack_words(out[3], out[2], out[4], n)
 
 
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 8 << 20, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 2 << 20, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
     """The frames of docs (doc_id, text) as a DataFrame over the files written: shard, frame, ids, payload.
 
-    A worker keeps ``most`` chunks of text with their ids; that is a matter of memory and time only.
+    A worker keeps ``most`` chunks of text with their ids and works on ``frame_bytes`` of text at a time, with some 30
+    bytes of memory for each; both are a matter of memory and time only.
     """
     spark = docs.sparkSession
 
@@ -155,6 +156,7 @@ def read_ids(frames: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 names, lengths, ids = read_frame(batch.column("payload")[i].as_py())

@@ -168,8 +168,13 @@ def encoder(name: str, added: bool = False, most: int = MOST_CHUNKS) -> Encoder:
     return Encoder(vocabulary(name) if "/" not in name else name, added, most)
 
 
+def forget() -> None:
+    """Free the chunks that this worker process keeps, for stages that encode nothing."""
+    encoder.cache_clear()
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-__all__ = ["MOST_CHUNKS", "Encoder", "crc", "encoder", "vocabulary"]
+__all__ = ["MOST_CHUNKS", "Encoder", "crc", "encoder", "forget", "vocabulary"]

@@ -609,3 +609,26 @@ def test_the_query_segments_documents_and_turns(spark, tmp_path):
         assert {tuple(r[c] for c in keys) for r in rows if r["source"] == source} == {tuple(r) for r in table.select(*keys).collect()}
     assert all(r["decoded"] for r in rows) and {r["source"] for r in rows} == {"documents", "conversations"}
     assert sum(r["doc_id"] == 1000 for r in rows) == 2
+
+
+def test_frames_take_little_memory():
+    import inspect
+    import tracemalloc
+    from gleaner.llm import tokenbin as B, tokens
+    from gleaner.llm.arrays import pieces
+
+    g = np.random.default_rng(0)
+    words = [f"w{i:x}" for i in range(3000)]
+    texts = [" ".join(words[i] for i in g.integers(0, 3000, 500)) for _ in range(4000)]
+    batch, e, found = pa.record_batch([pa.array(texts)], names=["text"]), tokens.Encoder(tokens.vocabulary(B.VOCABULARY), added=True), []
+    tracemalloc.start()
+    for part in pieces(iter([batch]), "text", inspect.signature(B.write_ids).parameters["frame_bytes"].default):
+        ids, at = e.encode(part.column("text"), B.END)
+        lengths, back = B.read_frame(B.write_frame(np.arange(len(part)), np.diff(at), ids))[1:]
+        found += np.split(back.astype(np.uint32), np.cumsum(lengths)[:-1])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and most - 4 * sum(map(len, found)) < 150e6, most
+    tokens.encoder(B.VOCABULARY)
+    tokens.forget()
+    assert tokens.encoder.cache_info().currsize == 0
