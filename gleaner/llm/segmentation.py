@@ -43,9 +43,27 @@ def _symbols(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def _values(symbols: np.ndarray) -> np.ndarray:
+    return mix(symbols.astype(np.uint64) + _PLACE)
+
+
 def _hashes(symbols: np.ndarray) -> np.ndarray:
     """Prefix sums for hashes of ranges of symbols."""
-    return prefix(mix(symbols.astype(np.uint64) + _PLACE))
+    return prefix(_values(symbols))
+
+
+def _best(owner: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Where the ``most`` largest values of each run of equal owners are, in order of place; of equal values the first."""
+    if not len(owner):
+        return np.zeros(0, np.int64)
+    heads, value, found = _first_of(owner), value.copy(), []
+    runs = np.diff(np.r_[heads, len(owner)])
+    for _ in range(most):
+        top = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, heads), runs))
+        top = top[_first_of(owner[top])]
+        found.append(top)
+        value[top] = -np.inf
+    return np.unique(np.concatenate(found))
 
 
 def _first_of(owner: np.ndarray) -> np.ndarray:
@@ -71,7 +89,11 @@ class Lattices:
         length = np.diff(np.r_[start, len(symbols)])
         self.row = np.searchsorted(at, start, side="right") - 1
         self.place = start - at[self.row]
-        _, some, word = np.unique(ranged(_hashes(symbols), start, start + length), return_index=True, return_inverse=True)
+        key = ranged(_hashes(symbols), start, start + length)
+        order = np.argsort(key)
+        heads = _first_of(key[order])
+        word, some = np.empty(len(key), np.int64), order[heads]
+        word[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(key)]))
         length = length[some]
         first = np.cumsum(length) - length
         self.node, self.start = first[word], first[word]
@@ -80,19 +102,23 @@ class Lattices:
     def _build(self, symbols: np.ndarray, end: np.ndarray, seg: Segmenter) -> None:
         n = len(symbols)
         self.end, self.units, self.unit_size, self.longest = n, seg.units, seg.unit_size, seg.longest
-        sums, node = _hashes(symbols), np.arange(n)
+        values, node, key, room = _values(symbols), np.arange(n), np.zeros(n, np.uint64), end - np.arange(n)
         found = []
-        for size in range(1, seg.longest + 1):
-            node = node[node + size <= end[node]]
-            key = ranged(sums, node, node + size)
+        for size in range(1, seg.longest + 1):  # from each node on, as long as a piece begins like this
+            key = mix(key + values[node + (size - 1)])
             slot = seg.slots[key & _FEW]
             likely = np.flatnonzero(slot)
-            key, spot = key[likely], slot[likely] - 1
-            shared = np.flatnonzero(seg.shared[spot])
-            spot[shared] = np.minimum(np.searchsorted(seg.keys, key[shared]), len(seg.keys) - 1)
-            hit = seg.keys[spot] == key
-            own = node[likely[hit]]
-            found.append((own, own + size, seg.key_ids[spot[hit]]))
+            node, key, spot = node[likely], key[likely], slot[likely] - 1
+            there = seg.keys[spot] == key
+            other = np.flatnonzero(~there & seg.shared[spot])
+            spot[other] = np.minimum(np.searchsorted(seg.keys, key[other]), len(seg.keys) - 1)
+            there[other] = seg.keys[spot[other]] == key[other]
+            node, key, piece = node[there], key[there], seg.key_ids[spot[there]]
+            hit = piece >= 0
+            own = node[hit]
+            found.append((own, own + size, piece[hit]))
+            going = room[node] > size
+            node, key = node[going], key[going]
         none = np.ones(n, bool)
         for own, _, _ in found:
             none[own] = False
@@ -106,10 +132,15 @@ class Lattices:
         self.unit_at = np.cumsum(self.unit_size) - self.unit_size
         weights = np.concatenate([seg.weights, [sum(seg.weights[x]) for x in raw]])
         node, behind, unit = (np.concatenate([f[i] for f in found]) for i in range(3))
-        order = np.lexsort((-behind, node, end[node] - node))  # longer pieces first: they are likelier
+        distance, size = room[node], behind - node
+        if n < 1 << 28:  # by distance, node and size in one number
+            order = np.argsort((distance * n + node) * 64 + (63 - size))
+        else:
+            order = np.lexsort((-size, node, distance))
+        # Longer pieces first: they are likelier.
         node, behind, self.unit = node[order], behind[order], unit[order]
         self.behind = np.where(behind == end[node], n, behind)
-        distance = end[node] - node
+        distance = distance[order]
         heads = _first_of(node)
         degree = np.diff(np.r_[heads, len(node)])
         self.first, self.degree, self.rank = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -186,18 +217,24 @@ class Lattices:
             steps_occ, steps_edge = np.concatenate([steps_occ, occ]), np.concatenate([steps_edge, edge])
             # What is left of each node behind the prefix, and of the node where it branched off.
             index = np.arange(len(occ)) - at[owner]
-            several = self.degree[self.of[edge]] > 1
-            left = np.where(several, np.maximum(-np.expm1(log), 1e-17), 0.0)
-            mask = np.int64(1) << (edge - self.first[self.of[edge]])
+            open_at = self.of[edge]
+            left = np.where(self.degree[open_at] > 1, np.maximum(-np.expm1(log), 1e-17), 0.0)
             fresh = index >= pre_size[owner]
             if number:
                 spot = at + pre_size - 1
-                left[spot], mask[spot], fresh[spot] = branch_left, branch_mask, True
+                left[spot], fresh[spot] = branch_left, True
             new = np.flatnonzero(fresh & (left > 0))
             before = sums[new] - sums[at[owner[new]]]
-            g = before + np.log(left[new]) - np.log(-np.log(uniform(occ[new], self.of[edge[new]], number, 1)))
+            g = before + np.log(left[new]) - np.log(-np.log(uniform(occ[new], open_at[new], number, 1)))
+            # A row's maxima grow with g, and only its best k + 1 can come up.
+            some = _best(owner[new], g, k + 1)
+            new, g = new[some], g[some]
             best = top[owner[new]] - np.logaddexp(0, top[owner[new]] - g)
-            joined = [np.concatenate([a, b]) for a, b in zip(frontier, (rows[owner[new]], best, np.full(len(new), number), index[new], mask[new]), strict=True)]
+            mask = np.int64(1) << (edge[new] - self.first[open_at[new]])
+            if number:
+                again = np.flatnonzero(new == spot[owner[new]])
+                mask[again] = branch_mask[owner[new[again]]]
+            joined = [np.concatenate([a, b]) for a, b in zip(frontier, (rows[owner[new]], best, np.full(len(new), number), index[new], mask), strict=True)]
             # Only the best k + 1 of a row can come up again. The best is opened next.
             order = np.lexsort((-joined[1], joined[0]))
             heads = _first_of(joined[0][order])
@@ -251,11 +288,18 @@ class Segmenter:
         self.longest = max(map(len, texts))  # a node has at most so many edges
         if self.longest > 62:
             raise ValueError(f"pieces of up to {self.longest} letters: the search marks a node's edges in 62 bits")
-        end = np.cumsum([len(t) for t in texts])
-        keys = ranged(_hashes(_symbols("".join(texts))), np.r_[0, end[:-1]], end)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(plain)[order]
-        # By the low bits of a key, the number of its piece (from 1); pieces that share these bits are searched for.
+        # Keys of the beginnings of all pieces, each with the piece that it is (or -1).
+        letters = np.array([len(t) for t in texts])
+        first, values, key, found = np.cumsum(letters) - letters, _values(_symbols("".join(texts))), np.zeros(len(texts), np.uint64), []
+        for n in range(1, self.longest + 1):
+            live = np.flatnonzero(letters >= n)
+            key[live] = mix(key[live] + values[first[live] + (n - 1)])
+            found.append((key[live], np.where(letters[live] == n, np.array(plain)[live], -1)))
+        keys, ids = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((-ids, keys))
+        order = order[_first_of(keys[order])]
+        self.keys, self.key_ids = keys[order], ids[order]
+        # By the low bits of a key, its number (from 1); keys that share these bits are searched for.
         low = self.keys & _FEW
         self.slots = np.zeros(1 << 20, np.int32)
         self.slots[low] = np.arange(1, len(low) + 1)

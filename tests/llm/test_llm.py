@@ -632,3 +632,17 @@ def test_frames_take_little_memory():
     tokens.encoder(B.VOCABULARY)
     tokens.forget()
     assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_best_of_each_row_and_beginnings_of_pieces():
+    from gleaner.llm import segmentation as S
+
+    g = np.random.default_rng(0)
+    for _ in range(50):
+        owner, value = np.sort(g.integers(0, 6, n := g.integers(0, 40))), g.integers(0, 9, n).astype(float)
+        want = [i for o in set(owner.tolist()) for i in sorted(np.flatnonzero(owner == o).tolist(), key=lambda i: (-value[i], i))[:3]]
+        assert S._best(owner, value, 3).tolist() == sorted(want)
+    seg, text = S.segmenter(S.MODEL), "▁internationalisation▁über▁x9"
+    words, plain = seg.split(text), {seg.library.id_to_piece(i): i for i in seg.key_ids[seg.key_ids >= 0].tolist()}
+    want = Counter(plain[w[a:b]] for w in ("▁internationalisation", "▁über", "▁x9") for a in range(len(w)) for b in range(a + 1, len(w) + 1) if w[a:b] in plain)
+    assert Counter(u for u in words.unit.tolist() if u in plain.values()) == want
