@@ -128,7 +128,7 @@ def read_frame(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], unpack_words(out[3], out[2], out[4], n)
 
 
-def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 2 << 20, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, frame_bytes: int = 4 << 20, added: bool = False, most: int = MOST_CHUNKS) -> DataFrame:
     """The frames of docs (doc_id, text) as a DataFrame over the files written: shard, frame, ids, payload.
 
     A worker keeps ``most`` chunks of text with their ids and works on ``frame_bytes`` of text at a time, with some 30

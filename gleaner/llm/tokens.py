@@ -28,6 +28,8 @@ _MEETS = f"[ {_WHITE}][ {_WHITE}]|^[ {_WHITE}]|[ {_WHITE}]$"
 _OTHER_WHITE = re.compile("[\t\n\x0b\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]")
 #: Chunks in a string for the library.
 TOGETHER = 256
+#: Chunks whose ids are looked up at a time, so that what lies between stays in the processor's cache.
+STRIP = 1 << 15
 
 
 def vocabulary(name: str) -> str:
@@ -129,7 +131,7 @@ class Encoder:
         at = split.offsets.to_numpy().astype(np.int64)
         at, values = at - at[0], split.flatten()
         coded = values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.spaced:
             first = np.zeros(len(codes) + 1, bool)  # chunks without a space before them
             first[at[:-1][np.diff(at) > 0]] = True
@@ -137,17 +139,18 @@ class Encoder:
                 lines = np.flatnonzero(codes == words.index("\n"))
                 first[lines] = first[lines + 1] = True
             key = codes * 2 + first[:-1]
-            there, of = np.zeros(2 * len(words), bool), np.empty(2 * len(words), np.int64)
+            there, of = np.zeros(2 * len(words), bool), np.empty(2 * len(words), np.int32)
             there[key] = True
             of[there] = self._places([words[c >> 1] if c & 1 else " " + words[c >> 1] for c in np.flatnonzero(there).tolist()])
             place = of[key]
         else:
             place = self._places(words)[codes]
-        size, start = self.size[place].astype(np.int64), self.start[place]
-        before = np.zeros(len(place) + 1, np.int64)
+        size, before = self.size[place], np.zeros(len(place) + 1, np.int64)
         np.cumsum(size, out=before[1:])
-        ids = self.ids[ranges(start, size)]
-        offsets = before[at]
+        ids, offsets = np.empty(before[-1], np.uint32), before[at]
+        for lo in range(0, len(place), STRIP):
+            some, sizes = place[lo : lo + STRIP], size[lo : lo + STRIP]
+            ids[before[lo] : before[lo + len(some)]] = self.ids[ranges(self.start[some], sizes)]
         if whole.any() or end is not None:
             parts, lengths = [], np.diff(offsets)
             odd, odd_size = self._one_by_one([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
